@@ -264,3 +264,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near copies the document with the least doc_id stays."""
+    docs = docs if docs.groupBy("doc_id").count().filter("count > 1").isEmpty() else docs.dropDuplicates(["doc_id"])
+    gone = stored(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id"))
+    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

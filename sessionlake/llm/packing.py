@@ -128,3 +128,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return pack(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mixed documents (repeats by themselves) packed into sequences."""
+    return pack(stored(pieces(docs))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,10 +1,21 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import ngramjoin, packing, tokenstore
+from . import balltree, langid, licenses, linededup, media, mixing, ngramjoin, packing, quotes, tokenstore
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_media_columns": media.op2_media_columns,
     "op3_token_store": tokenstore.op3_token_store,
+    "op4_source_mix": mixing.op4_source_mix,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_ngram_jaccard": ngramjoin.op6_ngram_jaccard,
+    "op7_ball_tree_topk": balltree.op7_ball_tree_topk,
+    "op8_quote_threads": quotes.op8_quote_threads,
+    "op9_site_lines": linededup.op9_site_lines,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE = {}
+ORACLE = {
+    "op7_ball_tree_topk": balltree.ORACLE,
+    "op8_quote_threads": quotes.ORACLE,
+    "op9_site_lines": linededup.ORACLE,
+}
