@@ -94,7 +94,7 @@ def _round(rows: DataFrame, turn: int, group: int, capacity: int) -> DataFrame:
     """One packing of all rows, with each bin's filled length and its group's gap."""
     groups = max(1, math.ceil(rows.count() / group))
 
-    def packed(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         lengths = pdf["length"].to_numpy()
         bins, offsets = best_fit(lengths, capacity)

@@ -61,7 +61,8 @@ def train(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SAMPLE, s
 
     rows = bounded_sample(docs.select("doc_id", "text"), "doc_id", sample).select("text").mapInArrow(serialize, "ids binary").collect()
     samples = sorted(bytes(r.ids) for r in rows)
-    if len(samples) < 16 or sum(map(len, samples)) < 4 * size:
+    size = min(size, sum(map(len, samples)) // 8)
+    if len(samples) < 16 or size < 1024:
         return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
