@@ -63,16 +63,16 @@ def events(lines: DataFrame) -> DataFrame:
         *[c for c in e.columns if c not in ("v", "type", "value")],
         "type",
         F.when(F.col("type").isin(ROOT_TYPES), F.col("type")).otherwise("other").alias("root_type"),
-        text_at("$.subtype").alias("subtype"),
+        get("$.subtype").alias("subtype"),
         F.when(F.col("type").isin("queue-operation", *MARKERS), F.coalesce(text_at("$.uuid"), sid)).otherwise(text_at("$.uuid")).alias("uuid"),
-        text_at("$.parentUuid").alias("parent_uuid"),
-        text_at("$.logicalParentUuid").alias("logical_parent_uuid"),
+        get("$.parentUuid").alias("parent_uuid"),
+        get("$.logicalParentUuid").alias("logical_parent_uuid"),
         F.when(~marker, ts).alias("ts"),
         F.coalesce(side, F.lit(False)).alias("is_sidechain"),
         F.coalesce(get("$.isMeta", "boolean"), F.lit(False)).alias("is_meta"),
         F.coalesce(get("$.isCompactSummary", "boolean"), F.lit(False)).alias("is_compact_summary"),
-        *(text_at(f"$.{k}").alias(n) for k, n in (("userType", "user_type"), ("cwd", "cwd"), ("gitBranch", "git_branch"), ("entrypoint", "entrypoint"), ("version", "version"), ("slug", "slug"))),
-        text_at("$.message.model").alias("model"),
+        *(get(f"$.{k}").alias(n) for k, n in (("userType", "user_type"), ("cwd", "cwd"), ("gitBranch", "git_branch"), ("entrypoint", "entrypoint"), ("version", "version"), ("slug", "slug"))),
+        get("$.message.model").alias("model"),
         "v",
     )
 
@@ -137,7 +137,7 @@ def attachments(events: DataFrame) -> DataFrame:
         F.coalesce(a("hookName"), a("hookEvent")).alias("hook"),
         F.coalesce(a("content"), a("stdout"), a("stderr"), a("snippet")).alias("text"),
         F.coalesce(a("filename"), a("filePath")).alias("attached_path"),
-        a("agentId").alias("agent_id"),
+        a("agentId").alias("attached_agent_id"),
         F.transform(a("todos", "array<variant>"), todo).alias("todos"),
     )
 
@@ -171,7 +171,7 @@ def file_backups(events: DataFrame) -> DataFrame:
     """Tracked files of snapshots and deltas: path and backup name."""
     whole = events.filter("type = 'file-history-snapshot'").select(*KEY, "offset", F.explode(get("$.snapshot.trackedFileBackups", "map<string,variant>")).alias("path", "b"))
     delta = events.filter("type = 'file-history-delta'").select(*KEY, "offset", get("$.trackingPath").alias("path"), get("$.backupFileName").alias("backup"))
-    return whole.select(*KEY, "offset", "path", F.coalesce(F.try_variant_get("b", "$", "string"), F.try_variant_get("b", "$.backupFileName", "string")).alias("backup")).unionByName(delta)
+    return whole.select(*KEY, "offset", "path", F.coalesce(text_at("$", "b"), F.try_variant_get("b", "$.backupFileName", "string")).alias("backup")).unionByName(delta)
 
 
 def queue_operations(events: DataFrame) -> DataFrame:
