@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import query, small_side, stored
 
-RATIO, LEAST_PAGES = 0.2, 5
+RATIO, LEAST_PAGES = 0.1, 5
 BREAKS = r"(?i)<(?:script|style)\b[^>]*>[^<]*</(?:script|style)>|</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|section|header|footer|title|body|head|html|blockquote|pre)\b[^>]*>|\n"
 TAGS = r"<[^>]*>"
 BLANK = r"[ \t\r\f]+"

@@ -484,7 +484,7 @@ def test_boilerplate_by_brute_force(spark, odd, nothing):
     found = {r.doc_id: r for r in linededup.drop_boilerplate(frame(spark, rows), F.split("text", "\n"), F.col("source")).collect()}
     pages, seen = Counter(r[3] or "" for r in rows), Counter((r[3] or "", x) for r in rows for x in set(r[1].split("\n")))
     for i, text, _, site, _ in rows:
-        keep = [x for x in text.split("\n") if not (seen[site or "", x] >= 5 and seen[site or "", x] >= 0.2 * pages[site or ""])]
+        keep = [x for x in text.split("\n") if not (seen[site or "", x] >= linededup.LEAST_PAGES and seen[site or "", x] >= linededup.RATIO * pages[site or ""])]
         assert found[i].lines == keep and found[i].n_dropped == len(text.split("\n")) - len(keep)
     assert linededup.drop_boilerplate(odd, F.split("text", "\n"), F.col("source")).count() == 11
     assert linededup.drop_boilerplate(nothing, F.split("text", "\n"), F.col("source")).collect() == []

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from sessionlake.llm import linededup
 from test_operators import WORD, assert_packed, frame, odd, plain_components, plain_sets, plain_targets, shipped, whole_ids  # noqa: F401
 
 PARTS = {"en": ["the", "ing", "tion", "wh", "ly"], "de": ["sch", "ung", "keit", "ü", "ein"], "fr": ["eau", "oi", "que", "é", "aux"]}
@@ -65,7 +66,7 @@ def without_boilerplate(rows):
     out = []
     for doc_id, text, lang, source, _ in rows:
         site = source or ""
-        keep = [x for x in clean(text) if not (seen[site, x] >= 5 and seen[site, x] >= 0.2 * pages[site])]
+        keep = [x for x in clean(text) if not (seen[site, x] >= linededup.LEAST_PAGES and seen[site, x] >= linededup.RATIO * pages[site])]
         new = "\n".join(keep) if keep and len(keep) < len(clean(text)) else text
         out.append((doc_id, new, lang, source, len(new)))
     return out
