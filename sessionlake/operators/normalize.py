@@ -367,3 +367,8 @@ def is_human_prompt() -> Column:
 def is_context_relevant() -> Column:
     """Events worth a reader's context: what was said, boundaries and errors."""
     return F.col("type").isin("user", "assistant", "summary") | (F.col("type") == "system") & F.coalesce(F.col("subtype").isin("compact_boundary", "error"), F.lit(False))
+
+
+def is_external() -> Column:
+    """User events that came from outside the agent."""
+    return (F.col("type") == "user") & F.coalesce(F.col("user_type") == "external", F.lit(False))

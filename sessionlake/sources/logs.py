@@ -50,6 +50,11 @@ def in_tail(n: int) -> Column:
     return (tail_start(n) == 0) | (F.col("offset") > tail_start(n))
 
 
+def in_head_or_tail(head: int, tail: int) -> Column:
+    """Both windows at once: a line that lies in both comes once."""
+    return in_head(head) | in_tail(tail)
+
+
 def truncated(n: int) -> Column:
     return tail_start(n) > 0
 
@@ -176,11 +181,8 @@ def live_sessions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def signals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Counters beside an update log."""
-    names = ("turnCount", "toolCallCount", "contextTokensUsed", "contextWindowTokens")
-    return json_files(spark, paths, "signals.json").select(F.regexp_extract("file_path", r"/([^/]+)/signals\.json$", 1).alias("session_id"), *(_get(f"$.{n}", "bigint").alias(F_SNAKE[n]) for n in names))
-
-
-F_SNAKE = {"turnCount": "turns", "toolCallCount": "tool_calls", "contextTokensUsed": "context_tokens", "contextWindowTokens": "context_window"}
+    names = {"turnCount": "turns", "toolCallCount": "tool_calls", "contextTokensUsed": "context_tokens", "contextWindowTokens": "context_window"}
+    return json_files(spark, paths, "signals.json").select(F.regexp_extract("file_path", r"/([^/]+)/signals\.json$", 1).alias("session_id"), *(_get(f"$.{k}", "bigint").alias(n) for k, n in names.items()))
 
 
 def plan_todos(spark: SparkSession, paths: str | list[str]) -> DataFrame:
