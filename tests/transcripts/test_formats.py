@@ -84,38 +84,41 @@ def test_blocks_and_outcomes(spark):
 PEER = '<cross-session-message from="a" name="Bob">hello</cross-session-message>'
 
 
-@pytest.mark.parametrize(
-    "row,kind,text,sender,handback",
-    [
-        (user(" placeholder "), "owner", "placeholder", None, False),
-        (user("x", origin={"kind": "human"}), "owner", "x", None, False),
-        (user("<system-reminder>r</system-reminder>", origin={"kind": "human"}), "harness", None, None, False),
-        (user("x", isCompactSummary=True, origin={"kind": "human"}), "compact_summary", "x", None, False),
-        (user("<task-notification>t</task-notification>", origin={"kind": "task-notification"}), "task_notification", "<task-notification>t</task-notification>", None, False),
-        (user(PEER, origin={"kind": "peer", "from": "z", "body": " clean ", "handback": True}), "peer", "clean", "z", True),
-        (user(PEER, origin={"kind": "peer"}), "peer", "hello", None, False),
-        (user("x", origin={"kind": "coordinator"}), "harness", None, None, False),
-        (user("x", isMeta=True), "harness", None, None, False),
-        (user("<command-name>/go</command-name><command-args> a b </command-args>"), "owner_command", "/go a b", None, False),
-        (user("<command-name>/go</command-name><command-args></command-args>"), "owner_command", "/go", None, False),
-        (user("<local-command-stdout>x"), "harness", None, None, False),
-        (user("[Request interrupted by user for tool use]"), "interrupt", "[Request interrupted by user for tool use]", None, False),
-        (user("<system-reminder>r</system-reminder> rest "), "owner", "rest", None, False),
-        (user("<system-reminder>r</system-reminder>" + PEER), "peer", "hello", "Bob", False),
-        (user("<system-reminder>open"), "harness", None, None, False),
-        (user("<task-notification>t"), "task_notification", "<task-notification>t", None, False),
-        (user('<agent-message from="w">done</agent-message>'), "peer", "done", "w", True),
-        (user('<cross-session-message from="w">[Subagent hand-back] x</cross-session-message>'), "peer", "[Subagent hand-back] x", "w", True),
-        (user('see <pasted_content id="1">P</pasted_content>'), "owner", "see [pasted] P", None, False),
-        (event("attachment", attachment={"type": "queued_command", "prompt": "mid"}), "owner_mid_turn", "mid", None, False),
-        (event("attachment", attachment={"type": "queued_command", "prompt": "n", "commandMode": "task-notification"}), "task_notification", "n", None, False),
-        (event("attachment", attachment={"type": "queued_command", "prompt": "x", "origin": {"kind": "task-notification"}}), "harness", None, None, False),
-    ],
-)
-def test_incoming_kinds(spark, row, kind, text, sender, handback):
-    ev = normalize.events(lines(spark, [row]))
-    (r,) = classify.incoming(ev, normalize.attachments(ev)).collect()
-    assert (r.kind, r.sender, r.handback) == (kind, sender, handback) and (text is None or r.text == text)
+INCOMING = [
+    (user(" placeholder "), "owner", "placeholder", None, False),
+    (user("x", origin={"kind": "human"}), "owner", "x", None, False),
+    (user("<system-reminder>r</system-reminder>", origin={"kind": "human"}), "harness", None, None, False),
+    (user("x", isCompactSummary=True, origin={"kind": "human"}), "compact_summary", "x", None, False),
+    (user("<task-notification>t</task-notification>", origin={"kind": "task-notification"}), "task_notification", "<task-notification>t</task-notification>", None, False),
+    (user(PEER, origin={"kind": "peer", "from": "z", "body": " clean ", "handback": True}), "peer", "clean", "z", True),
+    (user(PEER, origin={"kind": "peer"}), "peer", "hello", None, False),
+    (user("x", origin={"kind": "coordinator"}), "harness", None, None, False),
+    (user("x", isMeta=True), "harness", None, None, False),
+    (user("<command-name>/go</command-name><command-args> a b </command-args>"), "owner_command", "/go a b", None, False),
+    (user("<command-name>/go</command-name><command-args></command-args>"), "owner_command", "/go", None, False),
+    (user("<local-command-stdout>x"), "harness", None, None, False),
+    (user("[Request interrupted by user for tool use]"), "interrupt", "[Request interrupted by user for tool use]", None, False),
+    (user("<system-reminder>r</system-reminder> rest "), "owner", "rest", None, False),
+    (user("<system-reminder>r</system-reminder>" + PEER), "peer", "hello", "Bob", False),
+    (user("<system-reminder>open"), "harness", None, None, False),
+    (user("<task-notification>t"), "task_notification", "<task-notification>t", None, False),
+    (user('<agent-message from="w">done</agent-message>'), "peer", "done", "w", True),
+    (user('<cross-session-message from="w">[Subagent hand-back] x</cross-session-message>'), "peer", "[Subagent hand-back] x", "w", True),
+    (user('see <pasted_content id="1">P</pasted_content>'), "owner", "see [pasted] P", None, False),
+    (event("attachment", attachment={"type": "queued_command", "prompt": "mid"}), "owner_mid_turn", "mid", None, False),
+    (event("attachment", attachment={"type": "queued_command", "prompt": "n", "commandMode": "task-notification"}), "task_notification", "n", None, False),
+    (event("attachment", attachment={"type": "queued_command", "prompt": "x", "origin": {"kind": "task-notification"}}), "harness", None, None, False),
+]
+
+
+def test_incoming_kinds(spark):
+    ev = normalize.events(lines(spark, [c[0] for c in INCOMING]))
+    found = {r.offset // 100: r for r in classify.incoming(ev, normalize.attachments(ev)).collect()}
+    assert len(found) == len(INCOMING)
+    for i, (row, kind, text, sender, handback) in enumerate(INCOMING):
+        r = found[i]
+        assert (r.kind, r.sender, r.handback) == (kind, sender, handback), row
+        assert text is None or r.text == text, row
 
 
 def _facts(spark, rows):
