@@ -187,9 +187,9 @@ def grep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep(table(spark, sf_dir, "documents"), "license", 12).select("doc_id", "snippet")
 
 
-@registered("select distinct conv_id as session_id from conversations where contains(lower(text), 'under the')")
+@registered("select distinct conv_id as session_id from conversations where contains(lower(text), 'and the')")
 def sessions_mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.mentions(messages(spark, sf_dir), "Under the", by=S)
+    return search.mentions(messages(spark, sf_dir), "And the", by=S)
 
 
 _RANKED = 'select user_id as session_id, event_id as "offset", event_type as name, row_number() over (partition by user_id order by event_id) as r from events'
@@ -392,12 +392,12 @@ with u as (select user_id as session_id, case event_type when 'view' then 'haiku
 p(family, pin, pout) as (values ('haiku', 1.0, 5.0), ('sonnet', 3.0, 15.0), ('opus', 15.0, 75.0)),
 s as (select session_id, family, sum(i) as i, sum(o) as o, sum(w) as w, sum(r) as r from u group by all)
 select session_id, family, cast(i as bigint) as input, cast(o as bigint) as output, cast(i + w + r as bigint) as total_input, cast(i + w + r + o as bigint) as total, round(i + w + r * 0.1::double, 6) as effective_input,
-  round((i * pin::double + w * pin::double * 1.25::double + r * pin::double * 0.1::double + o * pout::double) / 1e6::double, 6) as cost_usd from s left join p using (family)""")
+  round((i * pin::double + w * pin::double * 1.25::double + r * pin::double * 0.1::double + o * pout::double) / 1e6::double, 8) as cost_usd from s left join p using (family)""")
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = operations(spark, sf_dir)
     model = F.when(F.col("name") == "view", "x-haiku-4").when(F.col("name") == "click", "X-Sonnet-4").when(F.col("name") == "purchase", "opus-4-x").otherwise("other")
     rows = ops.select("session_id", model.alias("model"), F.floor(F.col("value") * 10).alias("input"), F.floor("value").alias("output"), (F.col("offset") % 7).alias("cache_write"), (F.col("offset") % 11).alias("cache_read"))
-    return rollups.usage_totals(rows, S).select("session_id", "family", "input", "output", "total_input", "total", F.round("effective_input", 6).alias("effective_input"), F.round("cost_usd", 6).alias("cost_usd"))
+    return rollups.usage_totals(rows, S).select("session_id", "family", "input", "output", "total_input", "total", F.round("effective_input", 6).alias("effective_input"), F.round("cost_usd", 8).alias("cost_usd"))
 
 
 # -- documents and pages ---------------------------------------------------------------------------
