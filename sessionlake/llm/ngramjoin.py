@@ -42,6 +42,8 @@ from .common import partitions, query, small_side, stored
 from .components import components
 
 N, PERCENT, SHARE = 5, 75, 0.4
+#: Fragments of the survey at least.
+FRAGMENTS = 128
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _NAMES = ["fragment", "hashes", "docs", "notices", "info"]
 _BLOBS = "fragment int, hashes binary, docs binary, notices binary, info binary"
@@ -139,7 +141,7 @@ def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def survey(docs: DataFrame, n: int = N, share: float = SHARE, fragments: int | None = None) -> DataFrame:
     """Of each document: n (set size), q (of these in the fragments looked at), shared (of these in other
     documents too) and d1, d2 (a digest of the set)."""
-    fragments = fragments or 2 * partitions(docs.sparkSession)
+    fragments = fragments or max(FRAGMENTS, 2 * partitions(docs.sparkSession))
 
     def counted(table: pa.Table) -> pa.Table:
         _, ids, size = _postings(table)
