@@ -15,7 +15,7 @@ counts summed, first per document, then per pair.
 3. Pivots. In the order of that number, a linked pair shares one of each set's first
    |a| - ceil(t |a|) + 1 n-grams. Each document is paired with the pivot of each such n-gram's group,
    the document whose n-grams are in the most documents on average. The partial overlaps of a pair's
-   segments are counted in each fragment and summed; the exact similarity decides. The links found
+   segments are counted in each band of fragments and summed; the exact similarity decides. The links found
    give first components.
 4. The rest. Two documents a and b of a pivot p's group have at most
    min(|a & p|, |b & p|) + min(|a - p|, |b - p|) n-grams in common. So a link between two components
@@ -31,19 +31,21 @@ that repeat a doc_id the text that is least in code-point order counts. Other co
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words
 from .common import partitions, query, small_side, stored
 from .components import components
 
 N, PERCENT, SHARE = 5, 75, 0.4
-#: Fragments of the survey at least.
-FRAGMENTS = 128
+#: Fragments of the survey at least; postings of a fragment of the segments, about; bands in which overlaps are counted.
+FRAGMENTS, POSTINGS, BANDS = 128, 1_000_000, 8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _NAMES = ["fragment", "hashes", "docs", "notices", "info"]
 _BLOBS = "fragment int, hashes binary, docs binary, notices binary, info binary"
@@ -157,10 +159,10 @@ def survey(docs: DataFrame, n: int = N, share: float = SHARE, fragments: int | N
     return counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("n", "q", "d1", "d2")))
 
 
-def segments(docs: DataFrame, n: int = N, fragments: int | None = None) -> DataFrame:
-    """The n-grams that at least two of the documents have: fragment, doc_id, grams, and beside each
-    n-gram its number of documents."""
-    fragments = fragments or max(8, partitions(docs.sparkSession) // 2)
+def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:
+    """The n-grams that at least two of the documents have: band, doc_id, grams, and beside each n-gram its
+    number of documents. Fragments hold about POSTINGS of all postings; a band is a run of fragments."""
+    fragments = BANDS * max(1, math.ceil(postings / POSTINGS / BANDS))
 
     def cut(table: pa.Table) -> pa.Table:
         grams, ids, size = _postings(table)
@@ -172,10 +174,13 @@ def segments(docs: DataFrame, n: int = N, fragments: int | None = None) -> DataF
         at = pa.array(np.append(first, len(ids)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (grams.view(np.int64), size.astype(np.int32))]
         fragment = table.column("fragment")[0].as_py()
-        return pa.table({"fragment": pa.array(np.full(len(first), fragment, np.int32)), "doc_id": pa.array(ids[first]), "grams": lists[0], "spread": lists[1]})
+        return pa.table({"band": pa.array(np.full(len(first), fragment * BANDS // fragments, np.int32)), "doc_id": pa.array(ids[first]), "grams": lists[0], "spread": lists[1]})
 
     blobs = docs.select("doc_id", "text").mapInArrow(_spread(fragments, 1, n, False), _BLOBS).filter("length(hashes) > 0")
-    return blobs.groupBy("fragment").applyInArrow(cut, "fragment int, doc_id bigint, grams array<bigint>, spread array<int>")
+    found = blobs.groupBy("fragment").applyInArrow(cut, "band int, doc_id bigint, grams array<bigint>, spread array<int>")
+    if fragments == BANDS:
+        return found
+    return found.groupBy("band", "doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("grams", "spread")))
 
 
 def _least_common(percent: int, size):
@@ -192,10 +197,10 @@ def prefixes(parts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs (a, b, na, nb), for each fragment: the number of common n-grams and those of a that b lacks."""
-    own = parts.select("fragment", "doc_id", "grams")
-    left = pairs.join(own.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga")), "a")
-    both = left.join(own.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb")), ["b", "fragment"], "left")
+    """pairs (a, b, na, nb), for each band of fragments: the number of common n-grams and those of a that b lacks."""
+    own = parts.select("band", "doc_id", "grams")
+    left = pairs.join(own.select(F.col("doc_id").alias("a"), "band", F.col("grams").alias("ga")), "a")
+    both = left.join(own.select(F.col("doc_id").alias("b"), "band", F.col("grams").alias("gb")), ["b", "band"], "left")
     none = F.array().cast("array<bigint>")
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", F.coalesce("gb", none))).alias("part"), F.array_except("ga", F.coalesce("gb", none)).alias("outside"))
 
@@ -239,8 +244,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     alive = found.filter((F.col("n") > 0) & (F.col("q") - F.col("shared") <= F.col("n") - _least_common(percent, "n")))
     classes = stored(alive.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n")
-    few = classes.count()
-    parts = stored(segments(docs.join(small_side(reps.select("doc_id"), few), "doc_id"), n))
+    few, postings = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = stored(segments(docs.join(small_side(reps.select("doc_id"), few), "doc_id"), postings, n))
     enough = parts.groupBy("doc_id").agg(F.sum(F.size("grams")).alias("shared")).join(reps, "doc_id").filter(F.col("shared") >= _least_common(percent, "n"))
     sizes = stored(enough.select("doc_id", "n"))
     keys = stored(prefixes(parts.join(sizes.select("doc_id"), "doc_id", "left_semi"), sizes, percent))
@@ -269,7 +274,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least doc_id stays."""
-    docs = docs if docs.groupBy("doc_id").count().filter("count > 1").isEmpty() else docs.dropDuplicates(["doc_id"])
+    """Pipeline stage: of each group of near copies the document with the least doc_id stays, of rows that repeat a
+    doc_id the one with the least text; rows without doc_id stay."""
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        named = docs.filter("doc_id is not null").withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
+        docs = stored(named.filter("row = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null")))
     gone = stored(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id"))
     return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
