@@ -1,46 +1,22 @@
-"""What the operators share: table paths, the shared scratch folder, size-checked broadcasts."""
+"""What the operators share: size-checked broadcasts, bounded samples, shipping the package to executors."""
 
 from __future__ import annotations
 
 import functools
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir, stored  # noqa: F401
+
 #: A side of at most this many narrow rows (ids, digests, a few numbers) may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    `spark.checkpoint.dir` names it. Only where a session has none (tests on one machine), a local
-    temporary folder is set in its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sessionlake-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows are few; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

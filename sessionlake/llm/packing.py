@@ -3,8 +3,9 @@
 `pieces` tokenizes each document (its end id included) and cuts only those longer than a sequence.
 `pack` deals pieces to groups of about GROUP rows by a hash, packs each group best-fit decreasing and
 certifies it: dual feasible functions give a lower bound on the bins any packing of the group needs.
-Groups above their bound exchange the pieces of bins that are not full: these are dealt anew with
-another hash and packed again, for at most ROUNDS rounds, each kept only if it needs fewer bins.
+Groups above their bound exchange the pieces of bins that are not full, and every group those of its
+emptiest bin (where its bound was rounded up): these are dealt anew with another hash and packed again,
+for at most ROUNDS rounds, each kept only if it needs fewer bins.
 
 Null text counts as empty (one piece, the end id). Rows that repeat a doc_id are packed each by
 itself. Ties are broken by doc_id and piece, so reruns agree. An empty table gives no rows.
@@ -91,7 +92,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def _round(rows: DataFrame, turn: int, group: int, capacity: int) -> DataFrame:
-    """One packing of all rows, with each bin's filled length and its group's gap."""
+    """One packing of all rows, with each bin's filled length and its group's gap (at least 1 for the emptiest bin)."""
     groups = max(1, math.ceil(rows.count() / group))
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +102,8 @@ def _round(rows: DataFrame, turn: int, group: int, capacity: int) -> DataFrame:
         filled = np.bincount(bins, weights=lengths).astype(np.int64)
         pdf["sequence_id"] = (turn << 56) + (int(key[0]) << 24) + bins
         pdf["offset"], pdf["filled"] = offsets, filled[bins]
-        pdf["gap"] = len(filled) - lower_bound(lengths, capacity)
+        gap = len(filled) - lower_bound(lengths, capacity)
+        pdf["gap"] = np.maximum(gap, bins == filled.argmin())
         return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "filled", "gap"]]
 
     dealt = rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("dealt"))
