@@ -7,9 +7,9 @@ counts summed, first per document, then per pair.
 1. Survey. Over the fragments in the first SHARE of the order, count for each document how many of
    its n-grams some other document has too. A partner at similarity t can lack at most (1 - t) |a| of
    a's n-grams, so a document with more than that many unshared ones links with nothing. Documents
-   that pass collapse to one for each equal set. (A text is hashed whole; a batch counts n-grams that
-   two of its own documents share by itself and sends one notice, so a very common n-gram costs its
-   fragment a few bytes for each batch, not for each document.)
+   that pass collapse to one for each equal set. (A text is hashed whole; each few megabytes of texts
+   count n-grams that two of their own documents share by themselves and send one notice, so a very
+   common n-gram costs its fragment a few bytes for each such part, not for each document.)
 2. Segments. For what is left, all fragments: n-grams of one document only are dropped, the others kept
    with the number of documents that have them.
 3. Pivots. In the order of that number, a linked pair shares one of each set's first
@@ -46,6 +46,8 @@ from .components import components
 N, PERCENT, SHARE = 5, 75, 0.4
 #: Fragments of the survey at least; postings of a fragment of the segments, about; bands in which overlaps are counted.
 FRAGMENTS, POSTINGS, BANDS = 128, 1_000_000, 8
+#: Bytes of text, about, whose n-grams a task holds at once.
+HELD = 8 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _NAMES = ["fragment", "hashes", "docs", "notices", "info"]
 _BLOBS = "fragment int, hashes binary, docs binary, notices binary, info binary"
@@ -87,16 +89,16 @@ def _numbers(parts: list[bytes], kind) -> np.ndarray:
 
 
 def _spread(fragments: int, share: float, n: int, notices: bool):
-    """Batches of (doc_id, text) to the blobs of each fragment.
+    """Batches of (doc_id, text), in parts of about HELD bytes, to the blobs of each fragment.
 
-    notices: n-grams that several documents of a batch have stay there (the survey needs counts only);
+    notices: n-grams that several documents of a part have stay there (the survey needs counts only);
     else every posting is sent.
     """
     top = int(share * 2**64) if share < 1 else 2**64
     bounds = np.array([top * f // fragments for f in range(1, fragments)], np.uint64)
 
     def spread(batches):
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in words.chunks(words.text_buffer(whole.column(1))[1], HELD)):
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             info, parts = np.zeros(len(doc_ids), _INFO), []
             info["doc"] = doc_ids
