@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import inspect
 import os
 import tempfile
 import zipfile
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir, stored  # noqa: F401
 
+#: Rows of a batch sent to Python, where the session leaves Spark's default: whole texts are long, and each task holds a few batches.
+BATCH_ROWS = 2000
 #: A side of at most this many narrow rows (ids, digests, a few numbers) may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -56,6 +60,35 @@ def query(f):
     @functools.wraps(f)
     def shipped(spark, *args):
         ship(spark)
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         return f(spark, *args)
 
     return shipped
+
+
+def tidy(f):
+    """A function over batches (or one table) whose worker gives freed memory back to the system when it is done."""
+
+    def release() -> None:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+
+    def batches(rows):
+        try:
+            yield from f(rows)
+        finally:
+            release()
+
+    def table(rows):
+        try:
+            return f(rows)
+        finally:
+            release()
+
+    return batches if inspect.isgeneratorfunction(f) else table

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import bounded_sample, query
+from .common import bounded_sample, query, tidy
 
 BUCKETS, ROWS, SMOOTHING, CHUNK = 1 << 16, 20_000, 0.5, 1 << 18
 UNKNOWN = "und"
@@ -89,7 +89,7 @@ def train(docs: DataFrame, rows: int = ROWS, buckets: int = BUCKETS) -> tuple[li
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in lang], pa.string()), pa.array(bucket, pa.int32()), pa.array(table[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
 
     sample = bounded_sample(labelled, "doc_id", rows).select("text", "lang")
-    counted = sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.mapInArrow(tidy(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     table = np.zeros((buckets + 1, len(names)))
     place = {x: i for i, x in enumerate(names)}
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    return kept.mapInArrow(label, StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return kept.mapInArrow(tidy(label), StructType([*kept.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
 @query

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words
-from .common import partitions, query, small_side, stored
+from .common import partitions, query, small_side, stored, tidy
 from .components import components
 
 N, PERCENT, SHARE = 5, 75, 0.4
@@ -156,7 +156,7 @@ def survey(docs: DataFrame, n: int = N, share: float = SHARE, fragments: int | N
         out = {k: pa.chunked_array([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))]) for k, (x, y) in columns.items()}
         return pa.table(out | {k: pa.chunked_array([nulls, pa.array(info[k].astype(np.int64))]) for k in ("n", "q", "d1", "d2")})
 
-    blobs = docs.select("doc_id", "text").mapInArrow(_spread(fragments, share, n, True), _BLOBS)
+    blobs = docs.select("doc_id", "text").mapInArrow(tidy(_spread(fragments, share, n, True)), _BLOBS)
     counts = blobs.groupBy("fragment").applyInArrow(counted, "doc_id bigint, shared bigint, n bigint, q bigint, d1 bigint, d2 bigint")
     return counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("n", "q", "d1", "d2")))
 
@@ -178,7 +178,7 @@ def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:
         fragment = table.column("fragment")[0].as_py()
         return pa.table({"band": pa.array(np.full(len(first), fragment * BANDS // fragments, np.int32)), "doc_id": pa.array(ids[first]), "grams": lists[0], "spread": lists[1]})
 
-    blobs = docs.select("doc_id", "text").mapInArrow(_spread(fragments, 1, n, False), _BLOBS).filter("length(hashes) > 0")
+    blobs = docs.select("doc_id", "text").mapInArrow(tidy(_spread(fragments, 1, n, False)), _BLOBS).filter("length(hashes) > 0")
     found = blobs.groupBy("fragment").applyInArrow(cut, "band int, doc_id bigint, grams array<bigint>, spread array<int>")
     if fragments == BANDS:
         return found

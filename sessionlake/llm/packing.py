@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import query, stored
+from .common import query, stored, tidy
 
 CAPACITY, GROUP, ROUNDS = 2048, 4096, 3
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

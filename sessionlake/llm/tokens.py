@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import words
 
-KEPT = 1_500_000
+KEPT = 600_000
 VOCABULARY = "word_bpe_49k.json"
 
 

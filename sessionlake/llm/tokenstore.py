@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import bounded_sample, query, shared_dir
+from .common import bounded_sample, query, shared_dir, tidy
 
 SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
@@ -101,7 +101,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             yield block()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(blocks), SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((n, pa.list_(pa.int64())) for n in ("doc_ids", "n_tokens", "token_start", "frame_at")), ("frames", pa.binary()), ("dictionary", pa.string()), ("id_bytes", pa.int32())])
