@@ -20,8 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import query, small_side, stored
+from .ngramjoin import PERCENT
 
 RATIO, LEAST_PAGES = 0.1, 5
+#: Documents alike in all but this share of their words are near copies: with c words shared and r of their own each, c / (c + 2 r) reaches PERCENT.
+LEAST_OWN = (100 - PERCENT) / (100 + PERCENT)
 BREAKS = r"(?i)<(?:script|style)\b[^>]*>[^<]*</(?:script|style)>|</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|section|header|footer|title|body|head|html|blockquote|pre)\b[^>]*>|\n"
 TAGS = r"<[^>]*>"
 BLANK = r"[ \t\r\f]+"
@@ -41,14 +44,25 @@ def _clean(lines: Column, tags: bool) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, BLANK, " "))), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, lines: Column, site: Column, tags: bool = False, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """pages with `lines` (kept, in order), `n_lines` (before) and `n_dropped`; `site` and `lines` are expressions on pages."""
+def drop_boilerplate(pages: DataFrame, lines: Column, site: Column, tags: bool = False, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_own: float | None = None) -> DataFrame:
+    """pages with `lines` (kept, in order), `n_lines` (before) and `n_dropped`; `site` and `lines` are expressions on pages.
+    With `least_own`, a line is dropped only if it is as frequent on those pages alone that have more than this share
+    of their words in other, less frequent lines: near copies of one page don't make its lines boilerplate."""
     names = [c for c in pages.columns if c not in ("lines", "n_lines", "n_dropped", "site")]
     cut = stored(pages.select(*names, F.coalesce(site, F.lit("")).alias("site"), F.coalesce(_clean(lines, tags), F.array().cast("array<string>")).alias("lines")))
     each = cut.select("site", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     totals = cut.groupBy("site").agg(F.count("*").alias("pages"))
-    common = each.filter(F.col("n") >= least_pages).join(totals, "site").filter(F.col("n") >= F.lit(ratio) * F.col("pages"))
-    lists = stored(common.groupBy("site").agg(F.array_sort(F.collect_set("line")).alias("drop")))
+
+    def listed(each: DataFrame) -> DataFrame:
+        common = each.filter(F.col("n") >= least_pages).join(totals, "site").filter(F.col("n") >= F.lit(ratio) * F.col("pages"))
+        return stored(common.groupBy("site").agg(F.array_sort(F.collect_set("line")).alias("drop")))
+
+    lists = listed(each)
+    if least_own is not None:
+        words = lambda x: F.aggregate(x, F.lit(0), lambda n, line: n + F.size(F.split(line, " ")))
+        own = F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x)))
+        told = cut.join(small_side(lists, lists.count()), "site").filter(words(own) > F.lit(least_own) * words(F.col("lines")))
+        lists = listed(told.select("site", F.explode(F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), "drop")).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")))
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drop", F.xxhash64(x)), F.lit(False)))
     out = cut.join(small_side(lists, lists.count()), "site", "left").withColumn("kept", kept)
     return out.select(*names, F.col("site"), F.col("kept").alias("lines"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_dropped"))
@@ -78,10 +92,10 @@ select page_id, host, cast(len(lines) as bigint) as n_lines, cast(len(lines) - l
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: lines that recur within a source go from the texts; a document that had text stays, if without
-    any line left, as its whole text."""
-    found = drop_boilerplate(docs, F.split("text", "\n"), F.col("source"))
-    text = F.when((F.col("n_dropped") > 0) & (F.size("lines") > 0), F.array_join("lines", "\n")).otherwise(F.col("text"))
+    """Pipeline stage: lines that recur within a source, on documents that aren't near copies, go from the texts of all
+    its documents; one without any line left stays as empty text (linked with nothing, once in the mix, a piece of its end mark alone)."""
+    found = drop_boilerplate(docs, F.split("text", "\n"), F.col("source"), least_own=LEAST_OWN)
+    text = F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("text"))
     changed = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -100,6 +100,30 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert_packed(found, [(d, ids[d]) for d, n in firsts.items() for _ in range(n)])
 
 
+def test_line_dedup_leaves_copies_to_the_join(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+    body = [line() for _ in range(16)]
+    rows = [(i, "\n".join(["menu", *body]), "en", "hot", 1) for i in range(60)]
+    for i in range(100, 140):  # one line edited
+        lines = list(body)
+        lines[i % 16] = line()
+        rows.append((i, "\n".join(["menu", *lines]), "en", "hot", 1))
+    own = {i: [line() for _ in range(4)] for i in range(200, 400)}
+    rows += [(i, "\n".join(["menu", *lines, "footer"] if i % 2 else lines), "en", "hot", 1) for i, lines in own.items()]
+    rows += [(i, "menu\n footer", "en", "hot", 1) for i in range(500, 505)]  # nothing but boilerplate
+    cut = linededup.stage_line_dedup(spark, frame(spark, rows), "")
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert len(texts) == len(rows) and {texts[i] for i in range(60)} == {"\n".join(body)}
+    assert all(len(texts[i].split("\n")) == 16 for i in range(100, 140))
+    assert all(texts[i] == "\n".join(lines) for i, lines in own.items())
+    assert {texts[i] for i in range(500, 505)} == {""}
+    left = corpus_pipeline.STAGES[2][1](spark, cut, "")
+    assert {r.doc_id for r in left.collect()} - set(range(500, 505)) == {0, *own}
+    packed = corpus_pipeline.STAGES[4][1](spark, corpus_pipeline.STAGES[3][1](spark, left, ""), "")
+    assert {(r.doc_id, r.length) for r in packed.collect() if r.doc_id >= 500} == {(i, 1) for i in range(500, 505)}
+
+
 def test_stages_keep_the_columns_and_odd_rows(spark, odd):  # noqa: F811
     docs, names = odd, odd.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
