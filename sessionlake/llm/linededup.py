@@ -23,6 +23,9 @@ from .common import query, small_side, stored
 from .ngramjoin import PERCENT
 
 RATIO, LEAST_PAGES = 0.1, 5
+#: The pipeline's ratio. A template's line stands on every page of a section, and few sites have more than some dozens of
+#: sections; an author's own line stands on one page and its copies, which `least_own` keeps out of the counts.
+STAGE_RATIO = 0.02
 #: Documents alike in all but this share of their words are near copies: with c words shared and r of their own each, c / (c + 2 r) reaches PERCENT.
 LEAST_OWN = (100 - PERCENT) / (100 + PERCENT)
 BREAKS = r"(?i)<(?:script|style)\b[^>]*>[^<]*</(?:script|style)>|</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|section|header|footer|title|body|head|html|blockquote|pre)\b[^>]*>|\n"
@@ -94,7 +97,7 @@ select page_id, host, cast(len(lines) as bigint) as n_lines, cast(len(lines) - l
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: lines that recur within a source, on documents that aren't near copies, go from the texts of all
     its documents; one without any line left stays as empty text (linked with nothing, once in the mix, a piece of its end mark alone)."""
-    found = drop_boilerplate(docs, F.split("text", "\n"), F.col("source"), least_own=LEAST_OWN)
+    found = drop_boilerplate(docs, F.split("text", "\n"), F.col("source"), ratio=STAGE_RATIO, least_own=LEAST_OWN)
     text = F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("text"))
     changed = found.withColumn("text", text)
     if "n_chars" in docs.columns:

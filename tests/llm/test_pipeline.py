@@ -124,6 +124,18 @@ def test_line_dedup_leaves_copies_to_the_join(spark):
     assert {(r.doc_id, r.length) for r in packed.collect() if r.doc_id >= 500} == {(i, 1) for i in range(500, 505)}
 
 
+def test_line_dedup_drops_what_few_sections_share(spark):
+    rows, counts = [], {"small": (100, 5), "middle": (1000, 90), "hot": (3000, 70)}
+    for k, (source, (n, planted)) in enumerate(counts.items()):
+        for i in range(n):
+            lines = [f"{source} own {i} {j}" for j in range(3)]
+            lines[1:1] = ["section menu"] * (i < planted) + ["said by some"] * (n - i <= n // 100)
+            rows.append((10_000 * k + i, "\n".join(lines), "en", source, 1))
+    for r in linededup.stage_line_dedup(spark, frame(spark, rows), "").collect():
+        n, i = counts[r.source][0], r.doc_id % 10_000
+        assert r.text.split("\n") == [f"{r.source} own {i} 0", *["said by some"] * (n - i <= n // 100), *(f"{r.source} own {i} {j}" for j in (1, 2))]
+
+
 def test_stages_keep_the_columns_and_odd_rows(spark, odd):  # noqa: F811
     docs, names = odd, odd.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
