@@ -13,26 +13,29 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir, stored  # noqa: F401
+from ..sources.scratch import discard, shared_dir, stored, temporary  # noqa: F401
 
-#: Rows of a batch sent to Python, where the session leaves Spark's default: whole texts are long, and each task holds a few batches.
-BATCH_ROWS = 2000
+#: Rows of a batch sent to Python, where the session sets none: whole texts are long, and each task holds a few batches.
+BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A side of at most this many narrow rows (ids, digests, a few numbers) may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if its counted rows are few; otherwise Spark shuffles both sides."""
+    """df marked for broadcast if its counted rows are few; otherwise Spark shuffles both sides. `rows` counts numbers
+    (of 8 bytes) instead where rows hold lists of them."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows of df (all, if it has fewer), chosen by a hash of `key`, the same each time."""
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more), chosen by a hash of all their columns, the same each time.
+    Where rows are chosen, equal ones count as one, so that no number of repeats exceeds the bound."""
     total = df.count()
     if total <= rows:
         return df
     cut = int(rows / total * 2**62)
-    return df.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key)), 2) < F.lit(cut))
+    place = F.xxhash64(F.lit("sample"), *df.columns)
+    return df.filter(F.shiftrightunsigned(place, 2) < F.lit(cut)).distinct()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -60,8 +63,8 @@ def query(f):
     @functools.wraps(f)
     def shipped(spark, *args):
         ship(spark)
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        if BATCH not in spark.conf.getAll:  # a number that the user has set stays
+            spark.conf.set(BATCH, str(BATCH_ROWS))
         return f(spark, *args)
 
     return shipped

@@ -1,9 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step is one aggregate (the least neighbour of every node) and one equi-join, so a node with very
-many links costs no more than its rows; Spark may split that join's large partitions. After each pair
-of steps the links are written to the shared folder. The number of rounds grows with the logarithm of
-the longest chain.
+many links costs no more than its rows; the aggregate is stored first, so that Spark may split that join's
+large partitions where such a node's links meet. After each pair of steps the links are written to the shared
+folder and the former ones removed. The number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -25,10 +25,12 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        first = stored(_least(both))
+        large = both.join(first, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct())
+        former, edges = edges, stored(small.filter("u <> v").distinct())
+        discard(former, first)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

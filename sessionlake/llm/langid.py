@@ -7,8 +7,10 @@ the corpus. The matrix of log probabilities is broadcast; `predict` scores batch
 its rows over each text's n-grams. The score is the posterior of the predicted language.
 
 A null text or one without letters gets `und` and score 0, as does everything if no labelled row was
-found. Ties go to the language that comes first by code point. Each row is scored by itself, so
-repeated rows agree; an empty table gives no rows.
+found (the pipeline's stage then keeps every document that has letters: nothing tells languages apart).
+Ties go to the language that comes first by code point. A very long text is read in the same chunks as
+many short ones. Each row is scored by itself, so repeated rows agree; an empty table gives no rows.
+Other columns stay as they are; former columns named lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def train(docs: DataFrame, rows: int = ROWS, buckets: int = BUCKETS) -> tuple[li
             lang, bucket = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in lang], pa.string()), pa.array(bucket, pa.int32()), pa.array(table[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
 
-    sample = bounded_sample(labelled, "doc_id", rows).select("text", "lang")
+    sample = bounded_sample(labelled, rows).select("text", "lang")
     counted = sample.mapInArrow(tidy(count), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     table = np.zeros((buckets + 1, len(names)))
@@ -146,6 +148,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents without a language, or whose language stays in doubt, go."""
-    found = predict(docs, train(docs.select("doc_id", "text", "lang")))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    """Pipeline stage: documents without a language, or whose language stays in doubt, go. Where no document has a label,
+    no language can be told: those without letters go, the others stay."""
+    model = train(docs.select("doc_id", "text", "lang"))
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no column is called like a prediction
+    found = predict(numbered, model, f"c{docs.columns.index('text')}")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*numbered.columns).toDF(*docs.columns)

@@ -11,7 +11,8 @@ counts summed, first per document, then per pair.
    count n-grams that two of their own documents share by themselves and send one notice, so a very
    common n-gram costs its fragment a few bytes for each such part, not for each document.)
 2. Segments. For what is left, all fragments: n-grams of one document only are dropped, the others kept
-   with the number of documents that have them.
+   with the number of documents that have them. Each few megabytes of texts ask every fragment for the
+   numbers of their distinct n-grams, so here too a very common n-gram is one entry for each such part.
 3. Pivots. In the order of that number, a linked pair shares one of each set's first
    |a| - ceil(t |a|) + 1 n-grams. Each document is paired with the pivot of each such n-gram's group,
    the document whose n-grams are in the most documents on average. The partial overlaps of a pair's
@@ -19,13 +20,17 @@ counts summed, first per document, then per pair.
    give first components.
 4. The rest. Two documents a and b of a pivot p's group have at most
    min(|a & p|, |b & p|) + min(|a - p|, |b - p|) n-grams in common. So a link between two components
-   that step 3 left apart either has min(|a & p|, |b & p|) large enough alone, or the two share an
-   n-gram that p lacks. These pairs, few even in a large group of near copies, are counted as in
-   step 3. Pairs inside a known component can't change the result and are never made.
-
-Results are exact up to collisions of 64-bit hashes. Null or wordless text: an empty set, linked with
-nothing. Fewer words than n: the sequence as one n-gram. Rows without doc_id take no part; of rows
-that repeat a doc_id the text that is least in code-point order counts. Other columns are ignored.
+   that step 3 left apart either has min(|a & p|, |b & p|) large enough alone, and the two share a prefix
+   n-gram of which p is the pivot, or they share an n-gram that p lacks. In each such group of documents
+   those outside the group's largest component are compared with the others of like size; the
+   largest component is never compared with itself. The pairs are counted as in step 3.
+
+Fragments and partitions are as many as the bytes of text ask for, so no task grows with the data. Results
+are exact up to collisions of 64-bit hashes of n-grams. Null or wordless text: an empty set, linked with
+nothing. Fewer words than n: the sequence as one n-gram. A very long text is read in chunks. Every row is a
+document of its own: rows that repeat a doc_id with other texts are not linked by that, and a component's
+name is its least doc_id (null if it has none, as for a wordless row without doc_id). Other columns, whatever
+they are called, are ignored by the join and kept by the pipeline's stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,22 +40,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import words
-from .common import partitions, query, small_side, stored, tidy
+from .common import query, small_side, stored, temporary, tidy
 from .components import components
 
 N, PERCENT, SHARE = 5, 75, 0.4
-#: Fragments of the survey at least; postings of a fragment of the segments, about; bands in which overlaps are counted.
-FRAGMENTS, POSTINGS, BANDS = 128, 1_000_000, 8
+#: N-grams of a fragment, about; bytes of text for each n-gram, at least about; bands in which overlaps are counted.
+POSTINGS, BYTES, BANDS = 500_000, 6, 8
 #: Bytes of text, about, whose n-grams a task holds at once.
 HELD = 8 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _NAMES = ["fragment", "hashes", "docs", "notices", "info"]
 _BLOBS = "fragment int, hashes binary, docs binary, notices binary, info binary"
+_ASKED = "part bigint, fragment int, grams binary, times binary, docs binary"
 _INFO = np.dtype([("doc", "<i8"), ("n", "<i8"), ("q", "<i8"), ("shared", "<i8"), ("d1", "<i8"), ("d2", "<i8")])
 
 
@@ -88,17 +94,25 @@ def _numbers(parts: list[bytes], kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view(kind).ravel() for p in parts if p)])
 
 
-def _spread(fragments: int, share: float, n: int, notices: bool):
-    """Batches of (doc_id, text), in parts of about HELD bytes, to the blobs of each fragment.
+def _held(batches):
+    """Batches of (doc_id, text) cut into parts of about HELD bytes."""
+    for whole in batches:
+        for lo, hi in words.chunks(words.text_buffer(whole.column(1))[1], HELD):
+            yield whole.slice(lo, hi - lo)
+
+
+def _bounds(fragments: int, top: int) -> np.ndarray:
+    return np.array([top * f // fragments for f in range(1, fragments)], np.uint64)
 
-    notices: n-grams that several documents of a part have stay there (the survey needs counts only);
-    else every posting is sent.
-    """
-    top = int(share * 2**64) if share < 1 else 2**64
-    bounds = np.array([top * f // fragments for f in range(1, fragments)], np.uint64)
+
+def _surveyed(fragments: int, share: float, n: int):
+    """Batches of (doc_id, text) to the blobs of each fragment: n-grams that one document of a part has, with that document,
+    and notices of those that several have (these are counted in the part)."""
+    top = int(share * 2**64)
+    bounds = _bounds(fragments, top)
 
     def spread(batches):
-        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in words.chunks(words.text_buffer(whole.column(1))[1], HELD)):
+        for batch in _held(batches):
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             info, parts = np.zeros(len(doc_ids), _INFO), []
             info["doc"] = doc_ids
@@ -111,13 +125,11 @@ def _spread(fragments: int, share: float, n: int, notices: bool):
             index = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             order = np.argsort(all_grams, kind="stable")
             all_grams, index = all_grams[order], index[order]
-            noted = np.zeros(0, np.uint64)
-            if notices and len(all_grams):
-                same = np.append(False, all_grams[1:] == all_grams[:-1])
-                several = same | np.append(same[1:], False)
-                info["shared"] += np.bincount(index[several], minlength=len(parts))
-                noted = np.unique(all_grams[several])
-                all_grams, index = all_grams[~several], index[~several]
+            several = np.append(all_grams[1:] == all_grams[:-1], False) if len(all_grams) else np.zeros(0, bool)
+            several[1:] |= several[:-1].copy()
+            info["shared"] += np.bincount(index[several], minlength=len(parts))
+            noted = np.unique(all_grams[several])
+            all_grams, index = all_grams[~several], index[~several]
             cut, note_cut = ([0, *np.searchsorted(a, bounds).tolist(), len(a)] for a in (all_grams, noted))
             rows = [(f, _planes(all_grams[cut[f] : cut[f + 1]]), _planes(doc_ids[index[cut[f] : cut[f + 1]]]), _planes(noted[note_cut[f] : note_cut[f + 1]]), b"") for f in range(fragments) if cut[f] < cut[f + 1] or note_cut[f] < note_cut[f + 1]]
             if len(doc_ids):
@@ -128,35 +140,28 @@ def _spread(fragments: int, share: float, n: int, notices: bool):
     return spread
 
 
-def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A fragment's n-grams in order, their documents, and in how many places each n-gram stands."""
-    grams, docs = (_numbers(table.column(c).to_pylist(), k) for c, k in (("hashes", np.uint64), ("docs", np.int64)))
-    noted = np.unique(_numbers(table.column("notices").to_pylist(), np.uint64))
-    order = np.argsort(grams, kind="stable")
-    grams, docs = grams[order], docs[order]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(grams)))
-    if len(noted) and len(first):
-        at = np.minimum(np.searchsorted(noted, grams[first]), len(noted) - 1)
-        size = size + 2 * (noted[at] == grams[first])
-    return grams, docs, np.repeat(size, np.diff(np.append(first, len(grams))))
-
-
-def survey(docs: DataFrame, n: int = N, share: float = SHARE, fragments: int | None = None) -> DataFrame:
+def survey(docs: DataFrame, size: int, n: int = N, share: float = SHARE) -> DataFrame:
     """Of each document: n (set size), q (of these in the fragments looked at), shared (of these in other
-    documents too) and d1, d2 (a digest of the set)."""
-    fragments = fragments or max(FRAGMENTS, 2 * partitions(docs.sparkSession))
+    documents too) and d1, d2 (a digest of the set). size: bytes of all texts."""
+    fragments = max(1, math.ceil(size / BYTES * share / POSTINGS))
 
     def counted(table: pa.Table) -> pa.Table:
-        _, ids, size = _postings(table)
-        own, times = np.unique(ids[size > 1], return_counts=True)
+        grams, docs = (_numbers(table.column(c).to_pylist(), k) for c, k in (("hashes", np.uint64), ("docs", np.int64)))
+        noted = np.unique(_numbers(table.column("notices").to_pylist(), np.uint64))
+        order = np.argsort(grams, kind="stable")
+        grams, docs = grams[order], docs[order]
+        shared = np.append(grams[1:] == grams[:-1], False) if len(grams) else np.zeros(0, bool)
+        shared[1:] |= shared[:-1].copy()
+        if len(noted) and len(grams):
+            shared |= noted[np.minimum(np.searchsorted(noted, grams), len(noted) - 1)] == grams
+        own, times = np.unique(docs[shared], return_counts=True)
         info = np.frombuffer(b"".join(table.column("info").to_pylist()), _INFO)
         nulls = pa.nulls(len(own), pa.int64())
         columns = {"doc_id": (own, info["doc"]), "shared": (times, info["shared"])}
         out = {k: pa.chunked_array([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))]) for k, (x, y) in columns.items()}
         return pa.table(out | {k: pa.chunked_array([nulls, pa.array(info[k].astype(np.int64))]) for k in ("n", "q", "d1", "d2")})
 
-    blobs = docs.select("doc_id", "text").mapInArrow(tidy(_spread(fragments, share, n, True)), _BLOBS)
+    blobs = docs.select("doc_id", "text").mapInArrow(tidy(_surveyed(fragments, share, n)), _BLOBS).repartition(fragments, "fragment")
     counts = blobs.groupBy("fragment").applyInArrow(counted, "doc_id bigint, shared bigint, n bigint, q bigint, d1 bigint, d2 bigint")
     return counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("n", "q", "d1", "d2")))
 
@@ -165,24 +170,55 @@ def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:
     """The n-grams that at least two of the documents have: band, doc_id, grams, and beside each n-gram its
     number of documents. Fragments hold about POSTINGS of all postings; a band is a run of fragments."""
     fragments = BANDS * max(1, math.ceil(postings / POSTINGS / BANDS))
+    bounds = _bounds(fragments, 2**64)
 
-    def cut(table: pa.Table) -> pa.Table:
-        grams, ids, size = _postings(table)
-        keep = size > 1
-        grams, ids, size = grams[keep], ids[keep], size[keep]
-        order = np.argsort(ids, kind="stable")
-        grams, ids, size = grams[order], ids[order], size[order]
-        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-        at = pa.array(np.append(first, len(ids)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (grams.view(np.int64), size.astype(np.int32))]
-        fragment = table.column("fragment")[0].as_py()
-        return pa.table({"band": pa.array(np.full(len(first), fragment * BANDS // fragments, np.int32)), "doc_id": pa.array(ids[first]), "grams": lists[0], "spread": lists[1]})
-
-    blobs = docs.select("doc_id", "text").mapInArrow(tidy(_spread(fragments, 1, n, False)), _BLOBS).filter("length(hashes) > 0")
-    found = blobs.groupBy("fragment").applyInArrow(cut, "band int, doc_id bigint, grams array<bigint>, spread array<int>")
-    if fragments == BANDS:
-        return found
-    return found.groupBy("band", "doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("grams", "spread")))
+    def ask(batches):
+        """Of each part and fragment: the part's distinct n-grams, how many of its documents have each, and which."""
+        part = TaskContext.get().partitionId() << 32
+        for batch in _held(batches):
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sets = list(shingle_sets(batch.column(1), n))
+            grams = np.concatenate([np.zeros(0, np.uint64), *sets])
+            owner = np.repeat(doc_ids, [len(x) for x in sets])
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order]
+            distinct, first, times = np.unique(grams, return_index=True, return_counts=True)
+            cut = [0, *np.searchsorted(distinct, bounds).tolist(), len(distinct)]
+            first = np.append(first, len(grams))
+            rows = [(part, f, _planes(distinct[a:b]), times[a:b].astype("<i4").tobytes(), _planes(owner[first[a] : first[b]])) for f, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            part += 1
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["part", "fragment", "grams", "times", "docs"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """For each part that asks: the number of documents with each of its n-grams."""
+        blobs = table.column("grams").to_pylist()
+        grams = _numbers(blobs, np.uint64)
+        times = np.frombuffer(b"".join(table.column("times").to_pylist()), "<i4").astype(np.int64)
+        _, which = np.unique(grams, return_inverse=True)
+        total = np.minimum(np.bincount(which, weights=times), 2**31 - 1)[which].astype("<i4")
+        at = np.append(0, np.cumsum([len(x) // 8 for x in blobs]))
+        return pa.table({"part": table.column("part"), "fragment": table.column("fragment"), "totals": pa.array([total[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+
+    def cut(batches):
+        for batch in batches:
+            for fragment, grams, times, docs, totals in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                times = np.frombuffer(times, "<i4")
+                ids, spread = _numbers([docs], np.int64), np.repeat(np.frombuffer(totals, "<i4"), times)
+                keep = spread > 1
+                grams, ids, spread = np.repeat(_numbers([grams], np.uint64), times)[keep], ids[keep], spread[keep]
+                order = np.argsort(ids, kind="stable")
+                grams, ids, spread = grams[order], ids[order], spread[order]
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+                at = pa.array(np.append(first, len(ids)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (grams.view(np.int64), spread.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), fragment * BANDS // fragments, np.int32)), pa.array(ids[first]), *lists], ["band", "doc_id", "grams", "spread"])
+
+    asked = stored(docs.select("doc_id", "text").mapInArrow(tidy(ask), _ASKED))
+    totals = asked.select("part", "fragment", "grams", "times").repartition(fragments, "fragment").groupBy("fragment").applyInArrow(answer, "part bigint, fragment int, totals binary")
+    both = asked.join(totals, ["part", "fragment"]).select("fragment", "grams", "times", "docs", "totals")
+    found = both.mapInArrow(tidy(cut), "band int, doc_id bigint, grams array<bigint>, spread array<int>")
+    return found.groupBy("band", "doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("grams", "spread"))) if fragments > BANDS else found
 
 
 def _least_common(percent: int, size):
@@ -211,38 +247,44 @@ def _linked(percent: int):
     return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs
-    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-
-
-def _rest(counted: DataFrame, versus: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs of step 4: a, b, na, nb. counted: each document a against its pivots b; joined: components so far."""
+def _compared(rows: DataFrame, on: list[str], percent: int, test: Column) -> DataFrame:
+    """Pairs a, b, na, nb of the groups `on` that `test` allows: of different components (c), of sizes within percent,
+    one of the two outside the group's largest component. Sizes are met by bucket, each as wide as a partner can be off."""
+    names, step = ("n", "common", "apart", "reach", "c"), math.log(100 / percent)
+    bucket = F.floor(F.log(F.col("n")) / step)
+    largest = rows.groupBy(*on, "c").agg(F.count("*").alias("members")).groupBy(*on).agg(F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("several")).filter("several > 1").drop("several")
+    mixed = stored(rows.join(stored(largest), on).withColumn("bucket", bucket))
+    y = mixed.select(*on, "bucket", F.col("a").alias("b"), *(F.col(k).alias(f"{k}b") for k in names), (F.col("c") == F.col("main")).alias("mainb"))
+    x = mixed.filter("c <> main").select(*on, "a", *(F.col(k).alias(f"{k}a") for k in names), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    pairs = x.join(y, [*on, "bucket"]).filter((F.col("ca") != F.col("cb")) & (F.col("mainb") | (F.col("a") < F.col("b"))) & near & test)
+    turned = F.col("a") > F.col("b")
+    pick = lambda p, q, name: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(name)
+    return pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb"))
+
+
+def _rest(counted: DataFrame, versus: DataFrame, members: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs of step 4: a, b, na, nb. counted: each document a against its pivots b; members: the n-grams by which a came to
+    b; joined: components so far."""
     group = counted.join(joined, counted.a == joined.node, "left").select(F.col("b").alias("p"), "a", F.col("na").alias("n"), "common", "apart", F.coalesce("component", "a").alias("c"))
     spans = group.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).filter("lo < hi").select("p", "least")
-    # the largest partner with which the n-grams shared with p alone can make a link
+    # reach: the largest partner with which the n-grams shared with p alone can make a link
     group = stored(group.join(spans, "p").withColumn("reach", F.expr(f"{100 + percent} * common div {percent}") - F.col("n")))
-
-    def sides(rows: DataFrame, on: list[str]) -> DataFrame:
-        names = ("n", "common", "apart", "reach", "c")
-        x = rows.select(*on, "a", *(F.col(k).alias(f"{k}a") for k in names))
-        y = rows.select(*on, F.col("a").alias("b"), *(F.col(k).alias(f"{k}b") for k in names))
-        return x.join(y, on).filter("a < b and ca <> cb").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-
-    inside = sides(group.filter("reach >= least"), ["p"]).filter("nb <= reacha and na <= reachb")
+    if group.isEmpty():
+        return counted.select("a", "b", "na", "nb").limit(0)
+    by_prefix = members.select(F.col("b").alias("p"), "gram", "a").join(group.filter("reach >= least"), ["p", "a"])
+    inside = _compared(by_prefix, ["p", "gram"], percent, (F.col("nb") <= F.col("reacha")) & (F.col("na") <= F.col("reachb")))
     lacking = versus.select(F.col("b").alias("p"), "a", F.explode("outside").alias("gram")).join(group, ["p", "a"])
-    mixed = lacking.groupBy("p", "gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("p", "gram")
-    outside = sides(lacking.join(mixed, ["p", "gram"], "left_semi"), ["p", "gram"]).filter((100 + percent) * (F.least("commona", "commonb") + F.least("aparta", "apartb")) >= percent * (F.col("na") + F.col("nb")))
+    most = (100 + percent) * (F.least("commona", "commonb") + F.least("aparta", "apartb")) >= percent * (F.col("na") + F.col("nb"))
+    outside = _compared(lacking, ["p", "gram"], percent, most)
     tested = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return inside.select("a", "b", "na", "nb").unionByName(outside.select("a", "b", "na", "nb")).distinct().join(tested, ["a", "b"], "left_anti")
+    return inside.unionByName(outside).distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    docs = one_row_per_id(docs)
-    found = stored(survey(docs, n))
+def _components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, copies of documents with a doc_id of their own each."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    found = stored(survey(docs, size, n))
     alive = found.filter((F.col("n") > 0) & (F.col("q") - F.col("shared") <= F.col("n") - _least_common(percent, "n")))
     classes = stored(alive.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n")
@@ -252,14 +294,16 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     sizes = stored(enough.select("doc_id", "n"))
     keys = stored(prefixes(parts.join(sizes.select("doc_id"), "doc_id", "left_semi"), sizes, percent))
 
-    pivots = keys.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n"), F.struct(-F.col("typical"), F.col("doc_id"))).alias("p"), F.count("*").alias("docs")).filter("docs > 1").select("gram", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"))
-    around = keys.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na")).join(pivots, "gram").filter("a <> b").select("a", "b", "na", "nb").distinct()
+    # Pivots and members are stored, so that Spark may split the partitions of a common n-gram where they are joined.
+    pivots = stored(keys.groupBy("gram").agg(F.min_by(F.struct("doc_id", "n"), F.struct(-F.col("typical"), F.col("doc_id"))).alias("p"), F.count("*").alias("docs")).filter("docs > 1").select("gram", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb")))
+    members = stored(keys.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na")).join(pivots, "gram").filter("a <> b"))
+    around = members.select("a", "b", "na", "nb").distinct()
     versus = stored(overlaps(around, parts))
     counted = stored(versus.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"), F.sum(F.size("outside")).alias("apart")))
     known = counted.filter(_linked(percent)).select("a", "b")
     joined = components(known)
 
-    second = stored(_rest(counted, versus, joined, percent))
+    second = stored(_rest(counted, versus, members, joined, percent))
     sums = overlaps(second, parts).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
     more = stored(sums.filter(_linked(percent)).select("a", "b"))
     if not more.isEmpty():
@@ -270,16 +314,60 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("copies", F.lit(1))).otherwise(1).alias("copies"))
 
 
+def _ids_are_keys(docs: DataFrame) -> bool:
+    ids = docs.groupBy("doc_id").count()
+    return ids.filter("doc_id is null or count > 1").isEmpty()
+
+
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, copies of every row."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with temporary(docs.sparkSession) as keep:
+        if _ids_are_keys(docs):
+            return keep(stored(_components_of(docs, n, percent)))
+        rows = stored(docs.select("*", F.monotonically_increasing_id().alias("node")))
+        found = stored(_components_of(rows.select(F.col("node").alias("doc_id"), "text"), n, percent))
+        named = rows.select("node", F.col("doc_id").alias("named")).join(found, F.col("node") == found.doc_id).drop("doc_id")
+        least = stored(named.groupBy("component_id").agg(F.min("named").alias("least")))
+        return keep(stored(named.join(least, "component_id").select(F.col("named").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), "copies")))
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLE = rf"""
+with recursive w as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as words from documents
+), g as (
+  select rid, doc_id, case when len(words) = 0 then [] when len(words) < {N} then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(words) - {N - 1}), lambda i: array_to_string(words[i:i + {N - 1}], ' '))) end as grams from w
+), s as (select rid, doc_id, len(grams) as n, list_sort(grams) as grams from g
+), k as (select grams, min(rid) as rep, any_value(n) as n from s where n > 0 group by grams
+), e as (select rep, n, unnest(grams) as gram from k
+), p as (select a.rep as a, b.rep as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from e a join e b on a.gram = b.gram and a.rep < b.rep and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) group by all
+), l as (select a, b from p where 100 * common >= {PERCENT} * (na + nb - common)
+), t as (select a as u, b as v from l union all select b, a from l
+), r(node, other) as (select rep, rep from k union select r.node, t.v from r join t on t.u = r.other
+), x as (select node, min(other) as root from r group by node
+), m as (select s.rid, s.doc_id, s.n, s.grams, x.root from s left join k on s.n > 0 and s.grams = k.grams left join x on x.node = k.rep
+), c as (select root, min(doc_id) as least from m where root is not null group by root)
+select m.doc_id, cast(m.n as bigint) as n_shingles, case when m.root is null then m.doc_id else c.least end as component_id,
+  cast(case when m.n = 0 then 1 else count(*) over (partition by m.grams) end as bigint) as copies from m left join c using (root)
+"""
+
+
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least doc_id stays, of rows that repeat a
-    doc_id the one with the least text; rows without doc_id stay."""
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        named = docs.filter("doc_id is not null").withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())))
-        docs = stored(named.filter("row = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null")))
-    gone = stored(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id"))
-    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near copies the row with the least doc_id stays (rows without come last; of rows
+    that share it, any one), and so does every document without words."""
+    if _ids_are_keys(docs):
+        gone = stored(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id"))
+        return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("node"), "doc_id", "text"))
+    found = jaccard_components(rows.select(F.col("node").alias("doc_id"), "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
+    named = rows.select("node", "doc_id").join(found, "node")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "node")).alias("first")).select("component_id", F.col("first.node").alias("kept"))
+    gone = stored(named.join(stays, "component_id").filter("node <> kept").select("node"))
+    return rows.join(small_side(gone, gone.count()), "node", "left_anti").select("row.*")

@@ -8,7 +8,10 @@ emptiest bin (where its bound was rounded up): these are dealt anew with another
 for at most ROUNDS rounds, each kept only if it needs fewer bins.
 
 Null text counts as empty (one piece, the end id). Rows that repeat a doc_id are packed each by
-itself. Ties are broken by doc_id and piece, so reruns agree. An empty table gives no rows.
+itself, also where one id or one text stands on a great part of all rows: a group that the hash makes
+more than HOT times too large is dealt once more, row by row. Ties are broken by doc_id and piece, so
+reruns agree (after such a deal, over the same files). A very long text becomes many pieces. Other columns
+than doc_id and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import query, stored, tidy
+from .common import discard, query, small_side, stored, tidy
 
-CAPACITY, GROUP, ROUNDS = 2048, 4096, 3
+CAPACITY, GROUP, ROUNDS, HOT = 2048, 4096, 3, 4
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, filled bigint, gap bigint"
 
@@ -106,8 +109,18 @@ def _round(rows: DataFrame, turn: int, group: int, capacity: int) -> DataFrame:
         pdf["gap"] = np.maximum(gap, bins == filled.argmin())
         return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "filled", "gap"]]
 
-    dealt = rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("dealt"))
-    return stored(dealt.groupBy("dealt").applyInPandas(packed, PACKED))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    dealt = rows.select(*names, F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("dealt"))
+    hot = stored(dealt.groupBy("dealt").count().filter(F.col("count") > HOT * group).select("dealt", F.ceil(F.col("count") / group).alias("parts")))
+    found, parts = hot.agg(F.count("*"), F.coalesce(F.sum("parts"), F.lit(0))).first()
+    if found:
+        side = small_side(hot.select("dealt"), found)
+        row = F.monotonically_increasing_id()  # of stored rows: the same if a task runs again
+        again = dealt.withColumn("row", row).join(side, "dealt").select(*names, (F.pmod(F.xxhash64(F.lit(turn), "row"), F.lit(parts)) + groups).alias("dealt"))
+        dealt = dealt.join(side, "dealt", "left_anti").select(*names, "dealt").unionByName(again)
+    packed_rows = stored(dealt.groupBy("dealt").applyInPandas(packed, PACKED))
+    discard(hot)
+    return packed_rows
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
@@ -121,8 +134,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
             break
         again = _round(pool, turn, group, capacity)
         if again.agg(F.countDistinct("sequence_id")).first()[0] >= before:
+            discard(again)
             break
-        kept = stored(kept.filter(~loose).unionByName(again))
+        merged = stored(kept.filter(~loose).unionByName(again))
+        discard(kept, again)
+        kept = merged
     return kept
 
 

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE = {
+    "op6_ngram_jaccard": ngramjoin.ORACLE,
     "op7_ball_tree_topk": balltree.ORACLE,
     "op8_quote_threads": quotes.ORACLE,
     "op9_site_lines": linededup.ORACLE,

@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, one call for each distinct word.
 
 The word tokenizer drops white space and never joins characters across it, so the ids of a text are
-those of its words in order. Each Python worker keeps the ids of words it has met in flat arrays;
-beyond KEPT words it starts again, which costs time but changes nothing.
+those of its words in order. Each Python worker keeps the bytes and ids of words it has met in flat arrays,
+found by hash and then compared byte by byte; beyond KEPT words it starts again, which costs time but
+changes nothing. Words beyond words.LONG bytes, and those whose hash another word has, are not kept.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 
 from . import words
 
-KEPT = 600_000
+KEPT, RUN, MARK = 600_000, 512, "|"
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -30,24 +31,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # of each word: where its ids begin in `pool` and how many they are, where its bytes begin in `spelt` and how many
+        self.facts = np.zeros((0, 4), np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        self.spelt, self.spelt_used = np.zeros(1 << 20, np.uint8), 0
+
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other (placed at the pool's end, not kept yet), and their numbers."""
+        spelt, size, parts = [t.decode("utf-8", "replace") for t in texts], np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
+        # Many words a call, with a mark of one id between them that none of them holds; words with the mark go alone.
+        together = [i for i, w in enumerate(spelt) if MARK not in w] if self.mark is not None else []
+        runs = [together[i : i + RUN] for i in range(0, len(together), RUN)]
+        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(spelt[i] for i in run) for run in runs], add_special_tokens=False)
+        done = np.zeros(len(texts), bool)
+        for run, whole in zip(runs, found):
+            ids = np.array(whole.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) == len(run) - 1:
+                size[run], done[run] = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1, True
+                parts[run[0]] = np.delete(ids, cut)  # a run's ids stand at its first word
+        rest = np.flatnonzero(~done).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([spelt[i] for i in rest], add_special_tokens=False)):
+            parts[i] = np.array(e.ids, np.uint32)
+            size[i] = len(parts[i])
+        order = np.array([i for run in runs for i in run if done[i]] + rest, np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(parts[run[0]] for run in runs if done[run[0]]), *(parts[i] for i in rest)])
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        first = self.used + np.cumsum(size) - size
-        self.used += len(flat)
+        first = np.zeros(len(texts), np.int64)
+        first[order] = self.used + np.cumsum(size[order]) - size[order]
+        return first, size
+
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        first, size = self._ids(texts)
+        self.used += int(size.sum())
+        raw, lengths = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+        while self.spelt_used + len(raw) + 8 > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
+        self.spelt[self.spelt_used : self.spelt_used + len(raw)] = raw
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.size = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.first, first), (self.size, size)))
+        facts = np.stack([first, size, self.spelt_used + np.cumsum(lengths) - lengths, lengths], 1)
+        self.spelt_used += len(raw)
+        self.keys, self.facts = np.insert(self.keys, at, keys), np.insert(self.facts, at, facts, 0)
+
+    def _find(self, keys: np.ndarray, part: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key among the known ones, and which words stand there with the same bytes."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        if not len(self.keys):
+            return place, np.zeros(len(keys), bool)
+        known = self.facts[place]
+        same = np.flatnonzero((self.keys[place] == keys) & (known[:, 3] == size))
+        spelt = np.ndarray((len(self.spelt) - 7,), "<u8", self.spelt, strides=(1,))
+        out = np.zeros(len(keys), bool)
+        out[same] = words.equal(part, at[same], spelt, known[same, 2], size[same])
+        return place, out
 
     def encode(self, column: pa.Array):
         """For each range of texts: its number of texts, their ids in a row, each text's number of ids."""
@@ -59,16 +103,35 @@ class WordEncoder:
             if not len(starts):
                 yield hi - lo, np.zeros(0, np.uint32), np.zeros(hi - lo, np.int64)
                 continue
-            keys, where, which = np.unique(words.hashes(part, starts, ends), return_index=True, return_inverse=True)
+            length, raw, window = ends - starts, memoryview(part), words.windows(part)
+            hashed, where, which = np.unique(words.hashes(part, starts, ends), return_index=True, return_inverse=True)
             if len(self.keys) > KEPT:
                 self._clear()
-            at = np.searchsorted(self.keys, keys)
-            new = (at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
-            if new.any():
-                raw = part.tobytes()
-                self._learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-                at = np.searchsorted(self.keys, keys)
-            size, begin = self.size[at][which], self.first[at][which]
+            # One word for each hash is looked up by its bytes; words that differ from it, or are long, go by themselves.
+            short = np.flatnonzero(length[where] <= words.LONG)
+            keys = hashed[short]
+            place, found = self._find(keys, window, starts[where[short]], length[where[short]])
+            unknown = ~found & (self.keys[place] != keys) if len(self.keys) else ~found
+            if unknown.any():
+                new = where[short[unknown]]
+                self._learn(keys[unknown], [bytes(raw[s:e]) for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+                place, found = self._find(keys, window, starts[where[short]], length[where[short]])
+            facts = np.zeros((len(where), 2), np.int64)
+            facts[short[found]] = self.facts[place[found], :2]
+            shared = np.zeros(len(where), bool)
+            shared[short[found]] = True
+            begin, size = facts[which, 0], facts[which, 1]
+            alone = ~shared[which] | (length != length[where][which])
+            plain = np.flatnonzero(~alone)
+            alone[plain[~words.equal(window, starts[plain], window, starts[where[which[plain]]], length[plain])]] = True
+            if alone.any():
+                at = np.flatnonzero(alone)
+                texts = [bytes(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+                distinct = dict.fromkeys(texts)
+                own_first, own_size = self._ids(list(distinct))
+                number = dict(zip(distinct, range(len(distinct))))
+                of = np.fromiter((number[t] for t in texts), np.int64, len(texts))
+                begin[at], size[at] = own_first[of], own_size[of]
             total = np.append(0, np.cumsum(size))
             ids = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
             yield hi - lo, ids, np.diff(total[first])

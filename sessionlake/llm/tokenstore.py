@@ -4,6 +4,7 @@
 deals the documents out by ranges of doc_id, and writes one Parquet row per block of documents:
 
     shard, block       where the block stands; shards and blocks ascend with doc_id
+    first_id, last_id  the least and greatest doc_id in it (null if it holds null ids only)
     doc_ids            the block's documents, ascending
     n_tokens           ids of each, end id included
     token_start        ids before each, within the shard
@@ -12,18 +13,23 @@ deals the documents out by ranges of doc_id, and writes one Parquet row per bloc
     dictionary         SHA-256 of the dictionary ('' if there is none)
     id_bytes           2 or 4 bytes for each id, little-endian
 
-`read` gives the documents with their ids back, `fetch` one document: it reads the blocks whose range
-holds the id and decompresses that document's frame alone. Spark's writer commits the blocks, so the
-files may lie in any store and a lost executor costs its own tasks only.
+`read` gives the documents with their ids back, `fetch` the named ones: it reads the blocks whose range
+holds an id (Parquet's statistics skip the others) and decompresses those documents' frames alone, on the
+executors. Spark's writer commits the blocks, so the files may lie in any store and a lost executor costs
+its own tasks only.
 
 Null text counts as empty (the end id alone). Null doc_ids come first. Rows that repeat a doc_id are
-all stored, ordered by a hash of their texts. An empty table gives no blocks.
+all stored, ordered by a hash of their texts; the ranges that are dealt out go by that hash and a row
+number too, so one id on all rows is still many shards. A very long text is one frame. Other columns than
+doc_id and text are ignored. An empty table gives no blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +41,10 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import bounded_sample, query, shared_dir, tidy
 
-SAMPLE, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
+#: Documents that the dictionary is fitted on, about, and serialized bytes of each that count at most.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 64 << 10, 3
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
-SCHEMA = "shard int, block int, doc_ids array<bigint>, n_tokens array<bigint>, token_start array<bigint>, frame_at array<bigint>, frames binary, dictionary string, id_bytes int"
+SCHEMA = "shard int, block int, first_id bigint, last_id bigint, doc_ids array<bigint>, n_tokens array<bigint>, token_start array<bigint>, frame_at array<bigint>, frames binary, dictionary string, id_bytes int"
 DOCUMENT = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids binary"
 
 
@@ -52,14 +59,14 @@ def _serialized(ids: np.ndarray, end_id: int, width: int) -> bytes:
 
 
 def train(docs: DataFrame, vocabulary: str, end_id: int, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary of about `size` bytes from about `sample` documents; b'' if they are too few."""
+    """A dictionary of about `size` bytes from about `sample` documents (of long ones, the first SAMPLE_BYTES); b'' if they are too few."""
     width = id_bytes(vocabulary)
 
     def serialize(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_serialized(x, end_id, width) for x in tokens.encoded(batch.column(0), vocabulary)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_serialized(x, end_id, width)[:SAMPLE_BYTES] for x in tokens.encoded(batch.column(0), vocabulary)], pa.binary())], ["ids"])
 
-    rows = bounded_sample(docs.select("doc_id", "text"), "doc_id", sample).select("text").mapInArrow(serialize, "ids binary").collect()
+    rows = bounded_sample(docs.select("doc_id", "text"), sample).select("text").mapInArrow(serialize, "ids binary").collect()
     samples = sorted(bytes(r.ids) for r in rows)
     size = min(size, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 1024:
@@ -85,7 +92,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
 
         def block():
             at = [0, *np.cumsum([len(f) for f in frames]).tolist()]
-            row = {"shard": shard, "block": number, "doc_ids": doc_ids, "n_tokens": sizes, "token_start": starts, "frame_at": at, "frames": b"".join(frames), "dictionary": name, "id_bytes": width}
+            known = [i for i in doc_ids if i is not None]
+            row = {"shard": shard, "block": number, "first_id": min(known, default=None), "last_id": max(known, default=None), "doc_ids": doc_ids, "n_tokens": sizes, "token_start": starts, "frame_at": at, "frames": b"".join(frames), "dictionary": name, "id_bytes": width}
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         for batch in batches:
@@ -100,11 +108,12 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         if frames:
             yield block()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(tidy(blocks), SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(blocks), SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-_BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((n, pa.list_(pa.int64())) for n in ("doc_ids", "n_tokens", "token_start", "frame_at")), ("frames", pa.binary()), ("dictionary", pa.string()), ("id_bytes", pa.int32())])
+_BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("doc_ids", "n_tokens", "token_start", "frame_at")), ("frames", pa.binary()), ("dictionary", pa.string()), ("id_bytes", pa.int32())])
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
@@ -117,10 +126,10 @@ def _unpacker(raw: bytes, name: str) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
 
 
-def _documents(row: dict, unpacker: zstandard.ZstdDecompressor, only: int | None = None):
+def _documents(row: dict, unpacker: zstandard.ZstdDecompressor, only: frozenset | None = None):
     view, at = memoryview(row["frames"]), row["frame_at"]
     for i, doc_id in enumerate(row["doc_ids"]):
-        if only is None or doc_id == only:
+        if only is None or doc_id in only:
             ids = np.frombuffer(unpacker.decompress(view[at[i] : at[i + 1]]), f"<u{row['id_bytes']}").astype("<u4")
             yield doc_id, row["token_start"][i], ids
 
@@ -153,11 +162,21 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     return found.join(F.broadcast(starts), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", F.col("last").alias(last))
 
 
-def fetch(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of one document (a list, since rows may repeat an id)."""
-    raw = _dictionary(spark, path)
-    rows = spark.read.schema(SCHEMA).parquet(f"{path}/blocks").filter(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).collect()
-    return [ids for r in rows for _, _, ids in _documents(r.asDict(), _unpacker(raw, r.dictionary), doc_id)]
+def fetch(spark: SparkSession, path: str, *doc_ids: int) -> DataFrame:
+    """doc_id and ids (little-endian 32-bit numbers) of these documents; an id that rows repeat comes as often."""
+    raw, only = _dictionary(spark, path), frozenset(doc_ids)
+    blocks = spark.read.schema(SCHEMA).parquet(f"{path}/blocks")
+    near = reduce(or_, ((F.col("first_id") <= i) & (F.col("last_id") >= i) for i in doc_ids), F.lit(False))
+    own = blocks.filter(near & F.arrays_overlap("doc_ids", F.array(*(F.lit(i).cast("bigint") for i in doc_ids)).cast("array<bigint>")))
+
+    def unpack(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found = [(d, ids.tobytes()) for d, _, ids in _documents(row, _unpacker(raw, row["dictionary"]), only)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["doc_id", "ids"])
+
+    return own.select("doc_ids", "token_start", "frame_at", "frames", "dictionary", "id_bytes").mapInArrow(unpack, "doc_id bigint, ids binary")
 
 
 @query

@@ -7,18 +7,18 @@ the size of a batch or of one text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+#: Bytes of text worked on at once; words beyond LONG bytes are told apart by a digest.
+CHUNK, LONG = 1 << 20, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,16 +29,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.cumprod(np.full(256, _BASE, np.uint64), dtype=np.uint64)
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.full(2 * n, _BASE, np.uint64), dtype=np.uint64)
-    return _powers
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offset of each text (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,22 +63,51 @@ def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def windows(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on, as one number (beyond the end: zeros)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _block(window: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next 8 bytes of words of which `left` bytes are left."""
+    out = window[at]
+    short = np.flatnonzero(left < 8)
+    out[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    return out
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes and length."""
-    out, lo = np.empty(len(starts), np.uint64), 0
-    while lo < len(starts):  # windows, so that one very long text needs no more memory than others
+    """A 64-bit hash of each word's bytes and length; of words beyond LONG bytes, a BLAKE2 digest."""
+    size = ends - starts
+    out, lo = mix(size.astype(np.uint64) * _BASE), 0
+    while lo < len(starts):  # stretches, so that one very long text needs no more memory than others
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
-        first, last = int(starts[lo]), int(ends[hi - 1])
-        at = starts[lo:hi] - first
-        size = np.diff(np.append(at, last - first))
-        place = np.arange(last - first) - np.repeat(at, size)
-        longest = int((ends[lo:hi] - starts[lo:hi]).max())
-        np.minimum(place, longest, out=place)
-        values = _BYTE[data[first:last]]
-        values *= _power(longest + 1)[place]
-        out[lo:hi] = np.add.reduceat(values, at)
+        first, plain = int(starts[lo]), np.flatnonzero(size[lo:hi] <= LONG) + lo
+        if len(plain):
+            window = windows(data[first : int(ends[plain[-1]])])
+            for done in range(0, LONG, 8):
+                plain = plain[size[plain] > done]
+                if not len(plain):
+                    break
+                out[plain] = mix(out[plain] ^ _block(window, starts[plain] - first + done, size[plain] - done))
         lo = hi
-    return mix(out ^ (ends - starts).astype(np.uint64) * _BASE)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether words of equal size (at most LONG bytes) at `at` in a and `other` in b, both windows, have equal bytes."""
+    out, left = np.ones(len(size), bool), np.arange(len(size))
+    for done in range(0, LONG, 8):
+        left = left[size[left] > done]
+        if not len(left):
+            break
+        differ = _block(a, at[left] + done, size[left] - done) != _block(b, other[left] + done, size[left] - done)
+        out[left[differ]] = False
+    return out
 
 
 def lower(data: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from sessionlake.llm import linededup
-from test_operators import WORD, assert_packed, frame, odd, plain_components, plain_sets, plain_targets, shipped, whole_ids  # noqa: F401
+from test_operators import WORD, assert_packed, boilerplate, frame, odd, plain_components, plain_sets, plain_targets, shipped, whole_ids  # noqa: F401
 
 PARTS = {"en": ["the", "ing", "tion", "wh", "ly"], "de": ["sch", "ung", "keit", "ü", "ein"], "fr": ["eau", "oi", "que", "é", "aux"]}
 
@@ -63,11 +63,19 @@ def naive_bayes(rows):
 def without_boilerplate(rows):
     clean = lambda text: [x for x in (re.sub(r"[ \t\r\f]+", " ", x).strip(" ") for x in text.split("\n")) if x]
     pages, seen = Counter(r[3] or "" for r in rows), Counter((r[3] or "", x) for r in rows for x in set(clean(r[1])))
+    listed = lambda seen: {(s, x) for (s, x), n in seen.items() if boilerplate(n, pages[s], linededup.STAGE_RATIO)}
+    common, size = listed(seen), lambda lines: sum(len(x.split(" ")) for x in lines)
+    told = Counter()  # only on documents with enough words of their own
+    for r in rows:
+        site, own = r[3] or "", clean(r[1])
+        if size([x for x in own if (site, x) not in common]) > linededup.LEAST_OWN * size(own):
+            told.update((site, x) for x in set(own) if (site, x) in common)
+    common = listed(told)
     out = []
     for doc_id, text, lang, source, _ in rows:
         site = source or ""
-        keep = [x for x in clean(text) if not (seen[site, x] >= linededup.LEAST_PAGES and seen[site, x] >= linededup.RATIO * pages[site])]
-        new = "\n".join(keep) if keep and len(keep) < len(clean(text)) else text
+        keep = [x for x in clean(text) if (site, x) not in common]
+        new = "\n".join(keep) if len(keep) < len(clean(text)) else text
         out.append((doc_id, new, lang, source, len(new)))
     return out
 
