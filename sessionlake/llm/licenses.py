@@ -36,7 +36,7 @@ from pyspark.sql.types import StructType
 from . import words
 from .common import bounded_sample, query, tidy
 
-BUCKETS, SAMPLE, PARAGRAPHS, CHARS, COPIES, EPOCHS = 1 << 15, 1500, 1, 800, 24, 80
+BUCKETS, SAMPLE, PARAGRAPHS, CHARS, COPIES, EPOCHS = 1 << 15, 1500, 1, 400, 16, 50
 WINDOW, FALSE_RATE, CHUNK = 48, 0.002, 1 << 18
 #: The share of a piece's 2-grams that confirms it, and the same for pieces of at most SHORT 2-grams.
 CONFIRM, CONFIRM_SHORT, SHORT = 0.6, 0.75, 5
@@ -293,26 +293,26 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, copies:
     used, dense = np.unique(grams[order], return_inverse=True)
     owner = owner[order]
     n = np.bincount(owner, minlength=len(texts))
-    at, scale = np.cumsum(n) - n, (1 / np.sqrt(n)).astype(np.float32)
-    by_gram = np.argsort(dense, kind="stable")
-    who, first = owner[by_gram], np.searchsorted(dense[by_gram], np.arange(len(used)))
-    small, bias = np.zeros((len(used), len(families)), np.float32), np.zeros(len(families))
-    speed, bias_speed = np.full(small.shape, 1e-8, np.float32), np.full(len(families), 1e-8)
-    logits = lambda: np.add.reduceat(small[dense], at, axis=0) * scale[:, None] + bias
-    importance = np.where(held, 0, (1 / np.maximum(1, np.bincount(y[~held], minlength=len(families))))[y]) / len(families)
+    scale = (1 / np.sqrt(n)).astype(np.float32)
+    n_families, fit = len(families), np.flatnonzero(~held[owner])
+    small, speed = np.zeros((n_families, len(used)), np.float32), np.full((n_families, len(used)), 1e-8, np.float32)
+    bias, bias_speed = np.zeros(n_families), np.full(n_families, 1e-8)
+    logits = lambda: np.stack([np.bincount(owner, small[c][dense], len(texts)) * scale + bias[c] for c in range(n_families)], 1)
+    importance = np.where(held, 0, (1 / np.maximum(1, np.bincount(y[~held], minlength=n_families)))[y]) / n_families
     for _ in range(epochs):  # whole-batch AdaGrad
         p = _softmax(logits())
         p[np.arange(len(y)), y] -= 1
         p *= importance[:, None]
-        flow = (p * scale[:, None]).astype(np.float32)
-        slope = np.add.reduceat(flow[who], first, axis=0) + 1e-6 * small
-        speed += slope**2
-        small -= 0.5 * slope / np.sqrt(speed)
+        flow = np.ascontiguousarray((p * scale[:, None]).T.astype(np.float32))
+        for c in range(n_families):
+            slope = np.bincount(dense[fit], flow[c][owner[fit]], len(used)).astype(np.float32) + 1e-6 * small[c]
+            speed[c] += slope**2
+            small[c] -= 0.5 * slope / np.sqrt(speed[c])
         bias_slope = p.sum(0)
         bias_speed += bias_slope**2
         bias -= 0.2 * bias_slope / np.sqrt(bias_speed)
-    weights = np.zeros((buckets, len(families)), np.float32)
-    weights[used] = small
+    weights = np.zeros((buckets, n_families), np.float32)
+    weights[used] = small.T
     raw, own = logits()[held], y[held]
     loss = {t: -np.log(_softmax(raw / t)[np.arange(len(own)), own] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
     temperature = min(loss, key=lambda t: (loss[t], t))

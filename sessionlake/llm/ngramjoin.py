@@ -272,18 +272,17 @@ def _rest(counted: DataFrame, versus: DataFrame, members: DataFrame, joined: Dat
     group = stored(group.join(spans, "p").withColumn("reach", F.expr(f"{100 + percent} * common div {percent}") - F.col("n")))
     if group.isEmpty():
         return counted.select("a", "b", "na", "nb").limit(0)
-    by_prefix = members.select(F.col("b").alias("p"), "gram", "a").join(group.filter("reach >= least"), ["p", "a"])
-    inside = _compared(by_prefix, ["p", "gram"], percent, (F.col("nb") <= F.col("reacha")) & (F.col("na") <= F.col("reachb")))
-    lacking = versus.select(F.col("b").alias("p"), "a", F.explode("outside").alias("gram")).join(group, ["p", "a"])
+    by_prefix = members.select(F.lit(0).alias("way"), F.col("b").alias("p"), "gram", "a").join(group.filter("reach >= least"), ["p", "a"])
+    lacking = versus.select(F.lit(1).alias("way"), F.col("b").alias("p"), "a", F.explode("outside").alias("gram")).join(group, ["p", "a"])
+    inside = (F.col("nb") <= F.col("reacha")) & (F.col("na") <= F.col("reachb"))
     most = (100 + percent) * (F.least("commona", "commonb") + F.least("aparta", "apartb")) >= percent * (F.col("na") + F.col("nb"))
-    outside = _compared(lacking, ["p", "gram"], percent, most)
+    found = _compared(by_prefix.unionByName(lacking), ["way", "p", "gram"], percent, F.when(F.col("way") == 0, inside).otherwise(most))
     tested = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return inside.unionByName(outside).distinct().join(tested, ["a", "b"], "left_anti")
+    return found.distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def _components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, copies of documents with a doc_id of their own each."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _components_of(docs: DataFrame, size: int, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, copies of documents with a doc_id of their own each and `size` bytes of text."""
     found = stored(survey(docs, size, n))
     alive = found.filter((F.col("n") > 0) & (F.col("q") - F.col("shared") <= F.col("n") - _least_common(percent, "n")))
     classes = stored(alive.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")))
@@ -314,19 +313,22 @@ def _components_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.coalesce("copies", F.lit(1))).otherwise(1).alias("copies"))
 
 
-def _ids_are_keys(docs: DataFrame) -> bool:
-    ids = docs.groupBy("doc_id").count()
-    return ids.filter("doc_id is null or count > 1").isEmpty()
+def _looked_over(docs: DataFrame) -> tuple[bool, int]:
+    """Whether every row has a doc_id of its own, and the bytes of all texts."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("size"))
+    found = ids.agg(F.count_if(F.col("doc_id").isNull() | (F.col("rows") > 1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return found[0] == 0, found[1]
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, copies of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     with temporary(docs.sparkSession) as keep:
-        if _ids_are_keys(docs):
-            return keep(stored(_components_of(docs, n, percent)))
+        own_ids, size = _looked_over(docs)
+        if own_ids:
+            return keep(stored(_components_of(docs, size, n, percent)))
         rows = stored(docs.select("*", F.monotonically_increasing_id().alias("node")))
-        found = stored(_components_of(rows.select(F.col("node").alias("doc_id"), "text"), n, percent))
+        found = stored(_components_of(rows.select(F.col("node").alias("doc_id"), "text"), size, n, percent))
         named = rows.select("node", F.col("doc_id").alias("named")).join(found, F.col("node") == found.doc_id).drop("doc_id")
         least = stored(named.groupBy("component_id").agg(F.min("named").alias("least")))
         return keep(stored(named.join(least, "component_id").select(F.col("named").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), "copies")))
@@ -362,7 +364,7 @@ select m.doc_id, cast(m.n as bigint) as n_shingles, case when m.root is null the
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the row with the least doc_id stays (rows without come last; of rows
     that share it, any one), and so does every document without words."""
-    if _ids_are_keys(docs):
+    if _looked_over(docs)[0]:
         gone = stored(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id"))
         return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("node"), "doc_id", "text"))
