@@ -56,7 +56,7 @@ HELD = 8 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _NAMES = ["fragment", "hashes", "docs", "notices", "info"]
 _BLOBS = "fragment int, hashes binary, docs binary, notices binary, info binary"
-_ASKED = "part bigint, fragment int, grams binary, times binary, docs binary"
+_ASKED = "part bigint, band int, fragment int, grams binary, times binary, docs binary"
 _INFO = np.dtype([("doc", "<i8"), ("n", "<i8"), ("q", "<i8"), ("shared", "<i8"), ("d1", "<i8"), ("d2", "<i8")])
 
 
@@ -185,10 +185,10 @@ def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:
             distinct, first, times = np.unique(grams, return_index=True, return_counts=True)
             cut = [0, *np.searchsorted(distinct, bounds).tolist(), len(distinct)]
             first = np.append(first, len(grams))
-            rows = [(part, f, _planes(distinct[a:b]), times[a:b].astype("<i4").tobytes(), _planes(owner[first[a] : first[b]])) for f, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            rows = [(part, f * BANDS // fragments, f, _planes(distinct[a:b]), times[a:b].astype("<i4").tobytes(), _planes(owner[first[a] : first[b]])) for f, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
             part += 1
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["part", "fragment", "grams", "times", "docs"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["part", "band", "fragment", "grams", "times", "docs"])
 
     def answer(table: pa.Table) -> pa.Table:
         """For each part that asks: the number of documents with each of its n-grams."""
@@ -198,27 +198,31 @@ def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:
         _, which = np.unique(grams, return_inverse=True)
         total = np.minimum(np.bincount(which, weights=times), 2**31 - 1)[which].astype("<i4")
         at = np.append(0, np.cumsum([len(x) // 8 for x in blobs]))
-        return pa.table({"part": table.column("part"), "fragment": table.column("fragment"), "totals": pa.array([total[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+        return pa.table({"part": table.column("part"), "band": table.column("band"), "fragment": table.column("fragment"), "totals": pa.array([total[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())})
 
     def cut(batches):
+        """The documents of a part and band, each with those of its n-grams that several have."""
         for batch in batches:
-            for fragment, grams, times, docs, totals in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                times = np.frombuffer(times, "<i4")
-                ids, spread = _numbers([docs], np.int64), np.repeat(np.frombuffer(totals, "<i4"), times)
+            for band, asked, answers in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                times = np.concatenate([np.frombuffer(x["times"], "<i4") for x in asked])
+                spread = np.repeat(np.concatenate([np.frombuffer(x["totals"], "<i4") for x in answers]), times)
                 keep = spread > 1
-                grams, ids, spread = np.repeat(_numbers([grams], np.uint64), times)[keep], ids[keep], spread[keep]
+                grams = np.repeat(_numbers([x["grams"] for x in asked], np.uint64), times)[keep]
+                ids, spread = _numbers([x["docs"] for x in asked], np.int64)[keep], spread[keep]
                 order = np.argsort(ids, kind="stable")
                 grams, ids, spread = grams[order], ids[order], spread[order]
                 first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
                 at = pa.array(np.append(first, len(ids)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (grams.view(np.int64), spread.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), fragment * BANDS // fragments, np.int32)), pa.array(ids[first]), *lists], ["band", "doc_id", "grams", "spread"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), band, np.int32)), pa.array(ids[first]), *lists], ["band", "doc_id", "grams", "spread"])
+
+    def in_order(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("part", "band").agg(F.array_sort(F.collect_list(F.struct("fragment", *columns))).alias(name))
 
     asked = stored(docs.select("doc_id", "text").mapInArrow(tidy(ask), _ASKED))
-    totals = asked.select("part", "fragment", "grams", "times").repartition(fragments, "fragment").groupBy("fragment").applyInArrow(answer, "part bigint, fragment int, totals binary")
-    both = asked.join(totals, ["part", "fragment"]).select("fragment", "grams", "times", "docs", "totals")
-    found = both.mapInArrow(tidy(cut), "band int, doc_id bigint, grams array<bigint>, spread array<int>")
-    return found.groupBy("band", "doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("grams", "spread"))) if fragments > BANDS else found
+    totals = asked.select("part", "band", "fragment", "grams", "times").repartition(fragments, "fragment").groupBy("fragment").applyInArrow(answer, "part bigint, band int, fragment int, totals binary")
+    both = in_order(asked, "asked", "grams", "times", "docs").join(in_order(totals, "answers", "totals"), ["part", "band"])
+    return both.select("band", "asked", "answers").mapInArrow(tidy(cut), "band int, doc_id bigint, grams array<bigint>, spread array<int>")
 
 
 def _least_common(percent: int, size):
