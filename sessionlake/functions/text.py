@@ -1,6 +1,7 @@
 """Column expressions for transcript text: truncation, white space, tags, redaction, handles, paths, time.
 
-All are built from Spark SQL functions and stay inside code generation. Patterns that face user prose are
+All are built from Spark SQL functions; those on whole strings stay inside code generation, functions of array
+elements (redaction line by line, commits) are interpreted. Patterns that face user prose are
 Unicode-aware ((?U)), since Java's classes are ASCII by default. `s` is a column name or a column.
 """
 
@@ -52,14 +53,13 @@ def single_line(s: str | Column) -> Column:
 
 def paragraphs_on_one_line(s: str | Column) -> Column:
     """White-space runs as one space, runs with a line break as ' ⏎ '."""
-    marked = F.regexp_replace(strip(s), r"(?U)[\s&&[^\n]]*\n\s*", "\u0001")
-    return F.replace(F.regexp_replace(marked, r"(?U)\s+", " "), F.lit("\u0001"), F.lit(" ⏎ "))
+    return F.regexp_replace(F.regexp_replace(strip(s), r"(?U)[\s&&[^\n]]*\n\s*", " ⏎ "), r"(?U)\s+", " ")
 
 
 def collapse_blank_lines(s: str | Column) -> Column:
     """At most one blank line in a row; blanks around line breaks of a run go with it."""
-    two = F.regexp_replace(_c(s), r"\n[ \t\r]*\n[ \t\r\n]*", "\u0001")
-    return F.replace(F.regexp_replace(two, r"\n[ \t\r]+", "\n"), F.lit("\u0001"), F.lit("\n\n"))
+    two = F.regexp_replace(_c(s), r"\n[ \t\r]*\n[ \t\r\n]*", "\n\n")
+    return F.regexp_replace(two, r"\n[ \t\r]+", "\n")
 
 
 def first_line(s: str | Column) -> Column:
@@ -107,8 +107,8 @@ USERINFO = r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+:[^/@\s]+@"
 
 
 def _redact_line(line: Column) -> tuple[Column, Column]:
-    """The clean line and its number of redactions."""
-    clean = F.regexp_replace(line, r"[\p{Cc}&&[^\t]]", "")
+    """The line without its credentials and the number of redactions."""
+    clean = line
     whole = clean.rlike(CREDENTIAL) | clean.rlike(AUTH_HEADER)
     jwt = F.regexp_replace(clean, JWT, REDACTED)
     key = F.regexp_replace(jwt, API_TOKEN, REDACTED)
@@ -119,9 +119,10 @@ def _redact_line(line: Column) -> tuple[Column, Column]:
 
 def redact(s: str | Column) -> Column:
     """struct(text, n): the text without credentials, line by line, and how many redactions that took."""
-    flat = F.regexp_replace(_c(s), r"\r\n?", "\n")
-    no_pem = F.regexp_replace(flat, PEM, "\u0002")
-    lines = F.split(F.regexp_replace(no_pem, r"\n\z", ""), "\n")
+    # Control characters go first, so that one of them can stand for a key block.
+    flat = F.regexp_replace(F.regexp_replace(_c(s), r"\r\n?", "\n"), r"[\p{Cc}&&[^\t\n]]", "")
+    whole = F.regexp_replace(flat, r"\n\z", "")
+    lines = F.split(F.regexp_replace(F.regexp_replace(flat, PEM, "\u0002"), r"\n\z", ""), "\n")
 
     def one(line: Column) -> Column:
         text, n = _redact_line(line)
@@ -129,7 +130,9 @@ def redact(s: str | Column) -> Column:
         return F.struct(F.when(pem, F.lit(REDACTED)).otherwise(text).alias("text"), F.when(pem, F.lit(1)).otherwise(n).cast("bigint").alias("n"))
 
     done = F.transform(lines, one)
-    return F.struct(F.array_join(F.transform(done, lambda x: x.text), "\n").alias("text"), F.aggregate(done, F.lit(0).cast("bigint"), lambda a, x: a + x.n).alias("n"))
+    slow = F.struct(F.array_join(F.transform(done, lambda x: x.text), "\n").alias("text"), F.aggregate(done, F.lit(0).cast("bigint"), lambda a, x: a + x.n).alias("n"))
+    # A line's credential is one of the whole text too: only texts that hold any are taken apart.
+    return F.when(has_credential(whole) | whole.rlike("(?i)-----begin "), slow).otherwise(F.struct(whole.alias("text"), F.when(_c(s).isNotNull(), F.lit(0)).cast("bigint").alias("n")))
 
 
 def has_credential(s: str | Column) -> Column:

@@ -28,7 +28,9 @@ def test_truncations(one):
 def test_white_space(one):
     assert one(T.single_line("s"), " a \n b ") == "a b"
     assert one(T.paragraphs_on_one_line("s"), "\n\nfirst  line\n\n\nsecond\t x\n") == "first line ⏎ second x"
-    assert one(T.collapse_blank_lines("s"), "a\n \n\n\nb\nc") == "a\n\nb\nc"
+    assert one(T.collapse_blank_lines("s"), "a\n \n\n\nb\nc") == "a\n\nb\nc" and one(T.collapse_blank_lines("s"), "a\n  b\x01c\n\n\n d") == "a\nb\x01c\n\nd"
+    assert one(T.paragraphs_on_one_line("s"), "a\x01b \n c") == "a\x01b ⏎ c"
+    assert one(T.first_non_empty(F.lit(""), F.lit(None).cast("string"), "s", F.lit("z")), "x") == "x" and one(T.first_non_empty("s"), "") is None
     assert one(T.first_line("s"), "a\r\nb") == "a"
 
 
@@ -53,6 +55,9 @@ def test_tags(one):
         ("a\n-----BEGIN RSA PRIVATE KEY-----\nMII\n-----END RSA PRIVATE KEY-----\nb", "a\n[REDACTED]\nb", 1),
         ("a\n-----BEGIN PRIVATE KEY-----\nMII", "a\n[REDACTED]", 1),
         ("bell\x07\ttab", "bell\ttab", 0),
+        ("keep\x02this line\n", "keepthis line", 0),
+        ("a\x02\n-----begin private key-----\nMII\n-----end private key-----", "a\n[REDACTED]", 1),
+        ("pass\x07word: x\nfine", "[REDACTED]\nfine", 1),
     ],
 )
 def test_redaction(one, s, want, n):
