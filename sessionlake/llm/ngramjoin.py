@@ -54,8 +54,10 @@ POSTINGS, BYTES, BANDS = 500_000, 6, 8
 #: Bytes of text, about, whose n-grams a task holds at once.
 HELD = 8 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_NAMES = ["fragment", "hashes", "docs", "notices", "info"]
-_BLOBS = "fragment int, hashes binary, docs binary, notices binary, info binary"
+_NAMES = ["part", "fragment", "hashes", "docs", "notices", "info"]
+_BLOBS = "part bigint, fragment int, hashes binary, docs binary, notices binary, info binary"
+_COUNTS = "part bigint, docs binary, times binary, info binary"
+_SURVEY = "doc_id bigint, shared bigint, n bigint, q bigint, d1 bigint, d2 bigint"
 _ASKED = "part bigint, band int, fragment int, grams binary, times binary, docs binary"
 _INFO = np.dtype([("doc", "<i8"), ("n", "<i8"), ("q", "<i8"), ("shared", "<i8"), ("d1", "<i8"), ("d2", "<i8")])
 
@@ -112,6 +114,7 @@ def _surveyed(fragments: int, share: float, n: int):
     bounds = _bounds(fragments, top)
 
     def spread(batches):
+        part = TaskContext.get().partitionId() << 32
         for batch in _held(batches):
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             info, parts = np.zeros(len(doc_ids), _INFO), []
@@ -131,11 +134,12 @@ def _surveyed(fragments: int, share: float, n: int):
             noted = np.unique(all_grams[several])
             all_grams, index = all_grams[~several], index[~several]
             cut, note_cut = ([0, *np.searchsorted(a, bounds).tolist(), len(a)] for a in (all_grams, noted))
-            rows = [(f, _planes(all_grams[cut[f] : cut[f + 1]]), _planes(doc_ids[index[cut[f] : cut[f + 1]]]), _planes(noted[note_cut[f] : note_cut[f + 1]]), b"") for f in range(fragments) if cut[f] < cut[f + 1] or note_cut[f] < note_cut[f + 1]]
+            rows = [(part, f, _planes(all_grams[cut[f] : cut[f + 1]]), _planes(doc_ids[index[cut[f] : cut[f + 1]]]), _planes(noted[note_cut[f] : note_cut[f + 1]]), b"") for f in range(fragments) if cut[f] < cut[f + 1] or note_cut[f] < note_cut[f + 1]]
             if len(doc_ids):
-                rows.append((int(doc_ids[0]) % fragments, b"", b"", b"", info.tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], _NAMES)
+                rows.append((part, int(doc_ids[0]) % fragments, b"", b"", b"", info.tobytes()))
+            part += 1
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], _NAMES)
 
     return spread
 
@@ -146,24 +150,42 @@ def survey(docs: DataFrame, size: int, n: int = N, share: float = SHARE) -> Data
     fragments = max(1, math.ceil(size / BYTES * share / POSTINGS))
 
     def counted(table: pa.Table) -> pa.Table:
-        grams, docs = (_numbers(table.column(c).to_pylist(), k) for c, k in (("hashes", np.uint64), ("docs", np.int64)))
+        """For each part with n-grams in the fragment: its documents and how many of these n-grams others have too."""
+        blobs = table.column("hashes").to_pylist()
+        grams, docs = _numbers(blobs, np.uint64), _numbers(table.column("docs").to_pylist(), np.int64)
+        row = np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
         noted = np.unique(_numbers(table.column("notices").to_pylist(), np.uint64))
         order = np.argsort(grams, kind="stable")
-        grams, docs = grams[order], docs[order]
+        grams, docs, row = grams[order], docs[order], row[order]
         shared = np.append(grams[1:] == grams[:-1], False) if len(grams) else np.zeros(0, bool)
         shared[1:] |= shared[:-1].copy()
         if len(noted) and len(grams):
             shared |= noted[np.minimum(np.searchsorted(noted, grams), len(noted) - 1)] == grams
-        own, times = np.unique(docs[shared], return_counts=True)
-        info = np.frombuffer(b"".join(table.column("info").to_pylist()), _INFO)
-        nulls = pa.nulls(len(own), pa.int64())
-        columns = {"doc_id": (own, info["doc"]), "shared": (times, info["shared"])}
-        out = {k: pa.chunked_array([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))]) for k, (x, y) in columns.items()}
-        return pa.table(out | {k: pa.chunked_array([nulls, pa.array(info[k].astype(np.int64))]) for k in ("n", "q", "d1", "d2")})
+        docs, row = docs[shared], row[shared]
+        order = np.lexsort((docs, row))
+        docs, row = docs[order], row[order]
+        first = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (row[1:] != row[:-1]))) if len(docs) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(docs))).astype("<i4")
+        docs = docs[first]
+        at = np.searchsorted(row[first], np.arange(len(blobs) + 1)).tolist()
+        cuts = list(zip(at, at[1:]))
+        columns = [table.column("part"), pa.array([_planes(docs[a:b]) for a, b in cuts], pa.binary()), pa.array([times[a:b].tobytes() for a, b in cuts], pa.binary()), table.column("info")]
+        return pa.table(columns, ["part", "docs", "times", "info"])
+
+    def summed(batches):
+        """The documents of a part, each with the sum of its counts."""
+        for batch in batches:
+            for answers in batch.column(0).to_pylist():
+                info = np.sort(np.frombuffer(b"".join(x["info"] for x in answers), _INFO), order="doc")
+                docs, times = _numbers([x["docs"] for x in answers], np.int64), np.frombuffer(b"".join(x["times"] for x in answers), "<i4")
+                shared = info["shared"] + np.bincount(np.searchsorted(info["doc"], docs), weights=times, minlength=len(info)).astype(np.int64)
+                columns = {"doc_id": info["doc"], "shared": shared} | {k: info[k] for k in ("n", "q", "d1", "d2")}
+                yield pa.RecordBatch.from_pydict({k: pa.array(np.ascontiguousarray(v)) for k, v in columns.items()})
 
     blobs = docs.select("doc_id", "text").mapInArrow(tidy(_surveyed(fragments, share, n)), _BLOBS).repartition(fragments, "fragment")
-    counts = blobs.groupBy("fragment").applyInArrow(counted, "doc_id bigint, shared bigint, n bigint, q bigint, d1 bigint, d2 bigint")
-    return counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("n", "q", "d1", "d2")))
+    counts = blobs.groupBy("fragment").applyInArrow(counted, _COUNTS).filter("length(docs) > 0 or length(info) > 0")
+    answers = counts.groupBy("part").agg(F.collect_list(F.struct("docs", "times", "info")).alias("answers")).select("answers")
+    return answers.mapInArrow(tidy(summed), _SURVEY)
 
 
 def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:

@@ -506,6 +506,16 @@ def test_jaccard_components_by_brute_force(spark):
     assert {d: r.component_id for d, r in found.items()} == plain_components(sets)
 
 
+def test_survey_counts_over_many_fragments_and_parts(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"v{rng.randrange(6)}" for _ in range(rng.randrange(40)))) for i in range(150)] + [(200 + i, "the same words in many documents " * 3) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (300, None)], "doc_id bigint, text string").repartition(7)
+    found = {r.doc_id: (r.n, r.q, r.shared) for r in ngramjoin.survey(docs, 10**8, share=1).collect()}
+    sets = plain_sets([*rows, (300, None)])
+    times = Counter(g for own in sets.values() for g in own)
+    assert found == {d: (len(own), len(own), sum(times[g] > 1 for g in own)) for d, own in sets.items()}
+
+
 def test_jaccard_odd_rows(spark, odd, nothing):
     rows = odd.collect()
     sets = plain_sets([(i, r.text) for i, r in enumerate(rows)])
