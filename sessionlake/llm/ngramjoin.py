@@ -120,7 +120,7 @@ def _surveyed(fragments: int, share: float, n: int):
             info, parts = np.zeros(len(doc_ids), _INFO), []
             info["doc"] = doc_ids
             for i, grams in enumerate(shingle_sets(batch.column(1), n)):
-                own = grams[: np.searchsorted(grams, np.uint64(top))] if share < 1 else grams
+                own = grams[: np.searchsorted(grams, np.uint64(top))].copy() if share < 1 else grams  # a copy: the rest can go
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                 info["n"][i], info["q"][i], (info["d1"][i], info["d2"][i]) = len(grams), len(own), np.frombuffer(digest, "<i8")
                 parts.append(own)

@@ -15,7 +15,8 @@ import pyarrow as pa
 
 from . import words
 
-KEPT, RUN, MARK = 600_000, 512, "|"
+#: Words kept; words in one call of the tokenizer, calls at once; the word between them; bytes of text worked on at once.
+KEPT, RUN, CALLS, MARK, CHUNK = 200_000, 512, 8, "|", 1 << 19
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -42,24 +43,27 @@ class WordEncoder:
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.spelt, self.spelt_used = np.zeros(1 << 20, np.uint8), 0
 
+    def _called(self, texts: list[str]):
+        """The tokenizer's ids of each text; what it returns besides is held for CALLS texts at once only."""
+        for at in range(0, len(texts), CALLS):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + CALLS], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+
     def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other (placed at the pool's end, not kept yet), and their numbers."""
         spelt, size, parts = [t.decode("utf-8", "replace") for t in texts], np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)] * len(texts)
         # Many words a call, with a mark of one id between them that none of them holds; words with the mark go alone.
         together = [i for i, w in enumerate(spelt) if MARK not in w] if self.mark is not None else []
         runs = [together[i : i + RUN] for i in range(0, len(together), RUN)]
-        found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(spelt[i] for i in run) for run in runs], add_special_tokens=False)
         done = np.zeros(len(texts), bool)
-        for run, whole in zip(runs, found):
-            ids = np.array(whole.ids, np.uint32)
+        for run, ids in zip(runs, self._called([f" {MARK} ".join(spelt[i] for i in run) for run in runs])):
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) == len(run) - 1:
                 size[run], done[run] = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1, True
                 parts[run[0]] = np.delete(ids, cut)  # a run's ids stand at its first word
         rest = np.flatnonzero(~done).tolist()
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([spelt[i] for i in rest], add_special_tokens=False)):
-            parts[i] = np.array(e.ids, np.uint32)
-            size[i] = len(parts[i])
+        for i, ids in zip(rest, self._called([spelt[i] for i in rest])):
+            parts[i], size[i] = ids, len(ids)
         order = np.array([i for run in runs for i in run if done[i]] + rest, np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *(parts[run[0]] for run in runs if done[run[0]]), *(parts[i] for i in rest)])
         while self.used + len(flat) > len(self.pool):
@@ -96,7 +100,7 @@ class WordEncoder:
     def encode(self, column: pa.Array):
         """For each range of texts: its number of texts, their ids in a row, each text's number of ids."""
         data, offsets = words.text_buffer(column)
-        for lo, hi in words.chunks(offsets):
+        for lo, hi in words.chunks(offsets, CHUNK):
             own = offsets[lo : hi + 1]
             part, own = data[own[0] : own[-1]], own - own[0]
             starts, ends, first = words.segment(part, own)
