@@ -16,7 +16,7 @@ import pyarrow as pa
 from . import words
 
 #: Words kept; words in one call of the tokenizer, calls at once; the word between them; bytes of text worked on at once.
-KEPT, RUN, CALLS, MARK, CHUNK = 200_000, 512, 8, "|", 1 << 19
+KEPT, RUN, CALLS, MARK, CHUNK = 600_000, 512, 8, "|", 1 << 19
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -39,7 +39,7 @@ class WordEncoder:
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         # of each word: where its ids begin in `pool` and how many they are, where its bytes begin in `spelt` and how many
-        self.facts = np.zeros((0, 4), np.int64)
+        self.facts = np.zeros((0, 4), np.int32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.spelt, self.spelt_used = np.zeros(1 << 20, np.uint8), 0
 
@@ -81,7 +81,7 @@ class WordEncoder:
             self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
         self.spelt[self.spelt_used : self.spelt_used + len(raw)] = raw
         at = np.searchsorted(self.keys, keys)
-        facts = np.stack([first, size, self.spelt_used + np.cumsum(lengths) - lengths, lengths], 1)
+        facts = np.stack([first, size, self.spelt_used + np.cumsum(lengths) - lengths, lengths], 1).astype(np.int32)
         self.spelt_used += len(raw)
         self.keys, self.facts = np.insert(self.keys, at, keys), np.insert(self.facts, at, facts, 0)
 
