@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import balltree, langid, licenses, linededup, media, mixing, ngramjoin, packing, quotes, tokenstore
+from . import alignment, balltree, langid, licenses, linededup, media, mixing, ngramjoin, packing, quotes, spelling, substrings, tokenstore
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,10 +13,15 @@ QUERIES = {
     "op8_quote_threads": quotes.op8_quote_threads,
     "op9_site_lines": linededup.op9_site_lines,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_super_kmers": substrings.op12_super_kmers,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLE = {
     "op6_ngram_jaccard": ngramjoin.ORACLE,
     "op7_ball_tree_topk": balltree.ORACLE,
     "op8_quote_threads": quotes.ORACLE,
     "op9_site_lines": linededup.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_super_kmers": substrings.ORACLE,
 }
