@@ -10,8 +10,9 @@ windows with equal hashes, and gives for each document the windows that a smalle
 Hot groups. A task remembers the strings it has sent (SEEN of them, then anew): of a string that it sent for a
 smaller doc_id it sends no copy, but says at once that this document's windows go. So a passage that stands
 in a third of all documents arrives in its bucket about once a task. Buckets with more than HOT different
-strings (a common phrase as minimiser, many near copies) are counted and cut once more: each of their windows
-travels by itself to the bucket of its own hash. Nothing is dropped either way.
+strings (a common phrase as minimiser, many near copies) are found by a count and cut once more: each of their windows
+travels by itself to the bucket of its own hash. Nothing is dropped either way. The texts are cut once for the count
+and once to be sent, which costs less than to store three times their size.
 
 Rows with null text have no words; those with null doc_id keep all theirs and remove none of others. Rows that
 repeat doc_id and text are judged alike; rows of one doc_id with different texts don't remove each other's
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import discard, query, small_side, stored, temporary, tidy
+from .common import query, small_side, stored, temporary, tidy
 
 K, GRAM = 50, 8
 #: Different strings in a bucket from which on its windows are dealt out one by one; strings and documents a task remembers; bytes of text cut at once.
@@ -136,9 +138,7 @@ class _Sent:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_ROW), _ROW.types)], schema=_ROW)
 
 
-def super_kmers(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
-    """doc_id and text -> ROW: strings for their buckets, and words that are known to go."""
-
+def _cut_rows(k: int, gram: int):
     def rows(batches):
         sent, known = _Sent(), set()
         for batch in batches:
@@ -154,17 +154,38 @@ def super_kmers(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
                     yield sent.taken()
         yield sent.taken()
 
+    return rows
+
+
+def _known(docs: DataFrame) -> DataFrame:
     known = docs.filter("doc_id is not null and text is not null")
-    return known.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), F.col("text").cast("binary")).mapInArrow(tidy(rows), ROW)
+    return known.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("h"), F.col("text").cast("binary"))
+
+
+def super_kmers(docs: DataFrame, k: int = K, gram: int = GRAM) -> DataFrame:
+    """doc_id and text -> ROW: strings for their buckets, and words that are known to go (without a bucket)."""
+    return _known(docs).mapInArrow(tidy(_cut_rows(k, gram)), ROW)
+
+
+def hot_buckets(docs: DataFrame, k: int = K, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """key of the buckets that get more than `hot` strings; stored. The texts are cut for this alone, as only counts are shuffled."""
+
+    def keys(batches):
+        for batch in _cut_rows(k, gram)(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(2)], ["key"])
+
+    sent = _known(docs).mapInArrow(tidy(keys), "key bigint").filter("key is not null")
+    return stored(sent.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"))
 
 
-def _single(rows: DataFrame, k: int) -> DataFrame:
-    """The windows of hot buckets, each as a row of its own for the bucket of its own hash."""
+def _dealt(rows: DataFrame, k: int) -> DataFrame:
+    """ROW and `hot` -> ROW: the windows of hot buckets as rows of their own, for the bucket of their own hash; other rows as they are."""
 
     def split(batches):
         sent = _Sent()
         for batch in batches:
-            for r in batch.to_pylist():
+            yield batch.filter(pa.compute.invert(batch.column(6))).select(_ROW.names)
+            for r in batch.filter(batch.column(6)).to_pylist():
                 own = r["packed"].split()
                 texts = [b" ".join(own[i : i + k]) for i in range(len(own) - k + 1)]
                 sent.document(r["doc_id"], r["h"], ((int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True), 1, k, [x + i for x in r["lo"]], t) for i, t in enumerate(texts)))
@@ -207,9 +228,10 @@ def _earlier(packed: list[bytes], docs: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def judged(rows: DataFrame, k: int = K) -> DataFrame:
-    """Rows with strings, of any buckets -> MARK: words of each document that windows of smaller documents cover."""
+    """ROW -> MARK: words of each document that windows of smaller documents cover. Rows without a string are such words already."""
 
     def marks(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
         docs = table.column("doc_id").to_numpy()
         string, place, gone = _earlier(table.column("packed").to_pylist(), docs, k)
         found = np.flatnonzero(gone)
@@ -223,6 +245,10 @@ def judged(rows: DataFrame, k: int = K) -> DataFrame:
     def buckets(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            known = batch.filter(batch.column(5).is_null())
+            if len(known):
+                yield known.select(_MARK.names)
+            batch = batch.filter(batch.column(5).is_valid())
             keys = batch.column(2).to_numpy()
             if not len(keys):
                 continue
@@ -239,7 +265,8 @@ def judged(rows: DataFrame, k: int = K) -> DataFrame:
         if any(len(x) for x in held):
             yield marks(pa.Table.from_batches(held))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(buckets), MARK)
+    # Rows without a string are dealt out by their documents.
+    return rows.withColumn("key", F.coalesce("key", "h")).repartition("key").sortWithinPartitions("key").mapInArrow(tidy(buckets), MARK)
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray):
@@ -251,17 +278,13 @@ def _grouped(keys: np.ndarray, values: np.ndarray):
 def removed(docs: DataFrame, k: int = K, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, h (xxhash64 of the text) and `ranges` of word numbers [lo, hi) that go, of each document that loses any; stored."""
     with temporary(docs.sparkSession) as keep:
-        rows = stored(super_kmers(docs, k, gram))
-        sent = rows.filter("packed is not null")
-        common = stored(sent.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"))
+        rows = super_kmers(docs, k, gram)
+        common = hot_buckets(docs, k, gram, hot)
         number = common.count()
-        marks = rows.filter("packed is null").select("doc_id", "h", "lo", "hi")
         if number:
-            side = small_side(common, number)
-            single = stored(_single(sent.join(side, "key", "left_semi"), k))
-            marks = marks.unionByName(single.filter("packed is null").select("doc_id", "h", "lo", "hi"))
-            sent = sent.join(side, "key", "left_anti").unionByName(single.filter("packed is not null"))
-        marks = marks.unionByName(judged(sent, k)).select("doc_id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("range"))
+            side = small_side(common.withColumn("hot", F.lit(True)), number)
+            rows = _dealt(rows.join(side, "key", "left").select(*_ROW.names, F.coalesce("hot", F.lit(False)).alias("hot")), k)
+        marks = judged(rows, k).select("doc_id", "h", F.explode(F.arrays_zip("lo", "hi")).alias("range"))
         # A set: rows that repeat a document in different tasks give the same ranges, and none of them twice.
         return keep(stored(marks.groupBy("doc_id", "h").agg(F.collect_set("range").alias("ranges"))))
 
@@ -291,7 +314,8 @@ def kept(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    both = own.join(ranges, ["doc_id", "h"], "left")
+    numbers = ranges.agg(F.coalesce(F.sum(F.size("ranges") * 2 + 2), F.lit(0))).first()[0]
+    both = own.join(small_side(ranges, numbers), ["doc_id", "h"], "left")
     return both.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), "ranges").mapInArrow(tidy(digests), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
