@@ -10,8 +10,8 @@ text's SHA-256.
 A and B tokens always end together before a space between two ordinary characters (ASCII other than controls,
 Latin letters): the byte-level pattern starts a token with such a space, and no piece of B holds a space after
 another character (checked when B is loaded; without that, or with a normalizer in A, texts are not cut). So a
-text is aligned in units cut there, and each worker remembers the units it has met (KEPT of them, then anew;
-longer ones than LONG characters are not kept). Only new units go to the tokenizers.
+text is aligned in units cut there, and each worker remembers the units it has met (the last KEPT to 2 KEPT of
+them; longer ones than LONG characters are not kept). Only new units go to the tokenizers.
 
 Texts that are null, empty, or that either tokenizer doesn't give back byte for byte have no tokens: all
 measures 0 and an empty digest. A very long text is read unit by unit; one without any space is a single unit.
@@ -27,7 +27,9 @@ import hashlib
 import os
 import re
 from collections import Counter
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import discard, query, small_side, stored, temporary, tidy
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Units a worker remembers, the longest of them, and units in one call of a tokenizer.
-KEPT, LONG, CALL = 100_000, 64, 4096
+#: Units a worker remembers (and as many of a generation before), the longest of them, units in one call of a tokenizer, characters of a text read at once.
+KEPT, LONG, CALL, STRETCH = 250_000, 64, 4096, 1 << 18
 #: A link (a, b) as one number: a * SHIFT + b.
 SHIFT = 1 << 20
 #: Spaces between ordinary characters.
@@ -74,77 +76,76 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = self.a.normalizer is None and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.shown = [f"{i}{mark}" for t, end in ((self.a_size, "|"), (self.b_size, ";")) for mark in (",", end) for i in range(len(t))]
+        #: Units met since the last change of generation, and those of the generation before; a unit of that one that is met again moves over.
         self.known: dict[str, tuple | None] = {}
+        self.former: dict[str, tuple | None] = {}
 
     def units(self, text: str):
-        """space + text in units; each begins with a space."""
+        """The text's units, without the space that each begins with, in lists of about STRETCH characters."""
         at = 0
-        for m in CUT.finditer(text) if self.cuts else ():
-            yield " " + text[at : m.start()]
+        while self.cuts and at + STRETCH < len(text) and (m := CUT.search(text, at + STRETCH)):
+            yield CUT.split(text[at : m.start()])
             at = m.end()
-        yield " " + text[at:]
-
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """Numbers of A and B tokens, the groups as text, the links; None if a tokenizer doesn't give the unit back."""
-        raw = unit.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        groups, links, i, j, at = [], [], 0, 0, 0
-        while i < len(a):
-            first_a, first_b = i, j
-            end_a, end_b = at + len(self.a_bytes[a[i]]), at + len(self.b_bytes[b[j]])
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(self.a_bytes[a[i]])
-                else:
-                    j += 1
-                    end_b += len(self.b_bytes[b[j]])
-            links.append(a[i] * SHIFT + b[j])
-            i, j, at = i + 1, j + 1, end_a
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-        return len(a), len(b), ";".join(groups), links
-
-    def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        out = {}
+        yield CUT.split(text[at:]) if self.cuts else [text]
+
+    def learn(self, units: list[str]):
+        """Of each unit: numbers of A and B tokens, the groups as text, the links; None if a tokenizer doesn't give it back."""
         for at in range(0, len(units), CALL):
             some = units[at : at + CALL]
-            for unit, a, b in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), self.b.encode([u[1:] for u in some], num_threads=1)):
-                out[unit] = self._aligned(unit, a.ids, b)
-        return out
+            a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)]
+            b = self.b.encode(some, num_threads=1)
+            raw = [b" " + u.encode() for u in some]
+            good = [i for i, x in enumerate(raw) if b"".join(map(self.a_bytes.__getitem__, a[i])) == x == b"".join(map(self.b_bytes.__getitem__, b[i]))]
+            for i in set(range(len(some))).difference(good):
+                yield some[i], None
+            yield from zip([some[i] for i in good], self._aligned([a[i] for i in good], [b[i] for i in good]))
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]]):
+        """The same, for units that both tokenizers give back, all at once: their bytes stand one after the other."""
+        n_a, n_b = ([len(x) for x in ids] for ids in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, sum(n)) for ids, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        other = np.searchsorted(ends_b, ends_a)
+        last_a, last_b = ends_b[other] == ends_a, np.zeros(len(flat_b), bool)
+        last_b[other[last_a]] = True
+        links = (flat_a[last_a] * SHIFT + flat_b[last_b]).tolist()
+        # A group's A ids, then its B ids: each as text with the mark that follows it.
+        order = np.argsort(np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1]), kind="stable")
+        shown = np.concatenate([flat_a + last_a * len(self.a_size), 2 * len(self.a_size) + flat_b + last_b * len(self.b_size)])[order]
+        text, closed = list(map(self.shown.__getitem__, shown.tolist())), np.append(0, np.cumsum(last_a))
+        at = token = 0
+        for x, y in zip(n_a, n_b):
+            lo, hi = closed[token], closed[token + x]
+            yield x, y, "".join(text[at : at + x + y])[:-1], tuple(links[lo:hi])
+            at, token = at + x + y, token + x
+
+    def _found(self, units: list[str]) -> list[tuple | None]:
+        if len(self.known) > KEPT:
+            self.former, self.known = self.known, {}
+        new, long = [], {}
+        for u in set(units).difference(self.known):
+            if u in self.former:
+                self.known[u] = self.former[u]
+            else:
+                new.append(u)
+        for u, x in self.learn(new):
+            (self.known if len(u) <= LONG else long)[u] = x
+        return [long[u] if u in long else self.known[u] for u in units] if long else list(map(self.known.__getitem__, units))
 
     def align(self, text: str) -> tuple:
         """n_a, n_b, n_groups, digest, and the Counter of links; zeros for a text without tokens."""
-        n_a = n_b = n_groups = 0
-        digest, links, begun, held = hashlib.sha256(), Counter(), False, []
-
-        def flush() -> bool:
-            nonlocal n_a, n_b, n_groups, begun
-            if len(self.known) > KEPT:
-                self.known.clear()
-            times = Counter(held)
-            new = self.learn([u for u in times if u not in self.known])
-            self.known.update((u, x) for u, x in new.items() if len(u) <= LONG)
-            found = {u: new[u] if u in new else self.known[u] for u in times}
-            if None in found.values():
-                return False
-            for u, n in times.items():
-                x = found[u]
-                n_a, n_b, n_groups = n_a + n * x[0], n_b + n * x[1], n_groups + n * len(x[3])
-                for link in x[3]:
-                    links[link] += n
-            digest.update((";" if begun else "").encode() + ";".join([found[u][2] for u in held]).encode())
-            begun = True
-            held.clear()
-            return True
-
-        for unit in self.units(text) if text else ():
-            held.append(unit)
-            if len(held) == 1 << 16 and not flush():
+        n_a = n_b = 0
+        digest, links = hashlib.sha256(), Counter()
+        for nth, units in enumerate(self.units(text) if text else ()):
+            found = self._found(units)
+            if None in found:
                 return 0, 0, 0, "", Counter()
-        if held and not flush() or not begun:
-            return 0, 0, 0, "", Counter()
-        return n_a, n_b, n_groups, digest.hexdigest(), links
+            n_a, n_b = n_a + sum(x[0] for x in found), n_b + sum(x[1] for x in found)
+            links.update(chain.from_iterable(x[3] for x in found))
+            digest.update((";" * (nth > 0) + ";".join([x[2] for x in found])).encode())
+        return n_a, n_b, links.total(), digest.hexdigest() if text else "", links
 
 
 _aligners: dict[tuple, Aligner] = {}
