@@ -1,9 +1,8 @@
 """Log scans: raw lines with byte offsets, windows on them, session discovery and sidecar files.
 
-`raw_lines` is the one scan every format shares. A line's offset is a prefix sum of byte lengths in two
-levels, first inside each file block and then over the blocks' totals, so one very large file is still
-read by many tasks. Offsets are computed before blank lines go and on raw bytes, before invalid UTF-8 is
-replaced. Order within a session is offset order, never time.
+`raw_lines` is the one scan every format shares: byte ranges of files (`ranges`), so one very large file is
+read by many tasks, and each line comes with the offset it was found at, without a shuffle. Offsets count raw bytes, before
+blank lines go and invalid UTF-8 is replaced. Order within a session is offset order, never time.
 """
 
 from __future__ import annotations
@@ -13,24 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import ranges
 
 MAX_LINE_BYTES = 1 << 20
 
 
-def raw_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
-    """file_path, file_size, modified_at, offset, nbytes, valid_utf8, value of every line that isn't blank."""
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    m = "_metadata"
-    lines = reader.text(paths).select("value", F.col(f"{m}.file_path").alias("file_path"), F.col(f"{m}.file_size").alias("file_size"), F.col(f"{m}.file_modification_time").alias("modified_at"), F.col(f"{m}.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), (F.octet_length("value") + 1).cast("bigint").alias("size"))
-    block = Window.partitionBy("file_path", "block").orderBy("row")
-    within = lines.withColumn("inside", F.sum("size").over(block.rowsBetween(Window.unboundedPreceding, -1)))
-    totals = lines.groupBy("file_path", "block").agg(F.sum("size").alias("total"))
-    before = totals.withColumn("before", F.sum("total").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("file_path", "block", "before")
-    placed = within.join(before, ["file_path", "block"]).withColumn("offset", F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0)))
-    clean = F.regexp_replace(F.make_valid_utf8("value"), "\r$", "")
-    return placed.select("file_path", "file_size", "modified_at", "offset", (F.col("size") - 1).alias("nbytes"), F.is_valid_utf8("value").alias("valid_utf8"), clean.alias("value")).filter(F.trim("value") != "")
+def raw_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None, glob: str = "*.jsonl", split_bytes: int | None = None) -> DataFrame:
+    """file_path, file_size, modified_at, offset, nbytes, head_bytes, tail_bytes, valid_utf8, value of every line that isn't blank.
+
+    Each execution reads the files as long as they were when it was planned; store the lines where several jobs must see
+    the same state."""
+    ranges.register(spark)
+    lines = spark.read.format(ranges.NAME).options(**ranges.options(paths, modified_after=modified_after, glob=glob, split_bytes=split_bytes)).load()
+    return _decoded(lines)
+
+
+def streamed_lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl", split_bytes: int | None = None) -> DataFrame:
+    """The same lines as a stream: each complete line of the growing files once. file_size is how far a batch has read."""
+    ranges.register(spark)
+    return _decoded(spark.readStream.format(ranges.NAME).options(**ranges.options(paths, glob=glob, split_bytes=split_bytes)).load())
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    text = F.col("raw").cast("string")
+    clean = F.regexp_replace(F.make_valid_utf8(text), "\r$", "")
+    return lines.select("file_path", "file_size", "modified_at", "offset", "nbytes", "head_bytes", "tail_bytes", F.is_valid_utf8(text).alias("valid_utf8"), clean.alias("value")).filter(F.trim("value") != "")
 
 
 # -- windows on offsets ----------------------------------------------------------------------------
@@ -50,6 +56,16 @@ def in_tail(n: int) -> Column:
     return (tail_start(n) == 0) | (F.col("offset") > tail_start(n))
 
 
+def head_window(n: int) -> Column:
+    """in_head on lines of `raw_lines`, in a form that decides which bytes are read."""
+    return F.col("head_bytes") <= n
+
+
+def tail_window(n: int) -> Column:
+    """in_tail on lines of `raw_lines`, in a form that decides which bytes are read."""
+    return F.col("tail_bytes") <= n
+
+
 def in_head_or_tail(head: int, tail: int) -> Column:
     """Both windows at once: a line that lies in both comes once."""
     return in_head(head) | in_tail(tail)
@@ -130,12 +146,13 @@ def lookup(sessions: DataFrame, needle: str, least: int = 1, newest: bool = Fals
     one, unless `newest` takes the latest."""
     exact = sessions.filter(F.col("session_id") == needle)
     found = sessions.filter(F.startswith("session_id", F.lit(needle)) | (F.col("session_id") == needle)) if len(needle) >= least else exact
-    # An exact id wins over longer ids that start with it.
-    best = found.withColumn("exact", F.col("session_id") == needle)
-    counted = best.withColumn("any_exact", F.max("exact").over(Window.partitionBy(F.lit(1)))).filter("exact or not any_exact").drop("exact", "any_exact")
+    # An exact id wins over longer ids that start with it. One row of counts, summed by every task, joins all matches.
+    own = F.col("session_id") == needle
+    counts = found.agg(F.count("*").alias("all"), F.count_if(own).alias("exact"))
+    kept = found.crossJoin(F.broadcast(counts)).filter(own | (F.col("exact") == 0))
     if newest:
-        return counted.orderBy(F.desc("updated_at"), "session_id").limit(1).withColumn("n_matches", F.lit(1).cast("bigint"))
-    return counted.withColumn("n_matches", F.count("*").over(Window.partitionBy(F.lit(1))))
+        return kept.drop("all", "exact").orderBy(F.desc("updated_at"), "session_id").limit(1).withColumn("n_matches", F.lit(1).cast("bigint"))
+    return kept.withColumn("n_matches", F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("all"))).drop("all", "exact")
 
 
 # -- sidecars --------------------------------------------------------------------------------------

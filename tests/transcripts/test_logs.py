@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlake.sources import logs
+from sessionlake.sources import logs, ranges
 
 UUID = "0190aaaa-bbbb-7ccc-8ddd-eeeeeeeeeeee"
 
@@ -102,3 +102,82 @@ def test_sinks(spark, tmp_path):
     logs.write_json(df, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").first().asDict() == {"n": 1, "session_id": "s"}
     assert json.loads(logs.as_json(df).first().report) == {"n": 1}
+
+
+def test_ranges_give_each_line_once(tmp_path):
+    """Any split, any block: the lines of the whole file, also around empty lines, long lines and a half last one."""
+    for raw in (b"", b"\n", b"a", b"a\n", b"\n\na\n\nbb", b"x" * 50 + b"\ny\n" + b"z" * 30, b"one\ntwo\nthree\n"):
+        path = tmp_path / "f.jsonl"
+        path.write_bytes(raw)
+        lines = raw.split(b"\n")
+        lines = lines[:-1] if lines[-1] == b"" else lines
+        expected, at = [], 0
+        for line in lines:
+            expected.append((at, line, at + len(line) < len(raw)))
+            at += len(line) + 1
+        for split in (1, 2, 3, 7, 100):
+            for block in (1, 4, 64):
+                found = []
+                for part in ranges.split([(ranges.LogFile(f"file://{path}", len(raw), 0.0), 0, len(raw))], split):
+                    for b in ranges.batches(part, block):
+                        found += zip(b.column("offset").to_pylist(), b.column("raw").to_pylist(), b.column("terminated").to_pylist())
+                assert found == expected, (raw, split, block)
+
+
+def test_a_snapshot_ends_where_the_file_ended(tmp_path):
+    path = tmp_path / "f.jsonl"
+    path.write_bytes(b"one\ntwo\nthr")
+    reader = ranges.LogReader(ranges.options(str(tmp_path), split_bytes=2))
+    parts = reader.partitions()
+    path.write_bytes(b"one\ntwo\nthree\nfour\n")
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["offset"], r["raw"], r["terminated"], r["file_size"]) for r in rows] == [(0, b"one", True, 11), (4, b"two", True, 11), (8, b"thr", False, 11)]
+
+
+def test_filters_decide_what_is_read(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan, LessThanOrEqual
+
+    for name in "ab":
+        put(tmp_path / f"{name}.jsonl", "".join(f"{i:09d}\n" for i in range(10_000)))
+
+    def read(*filters):
+        reader = ranges.LogReader(ranges.options(str(tmp_path)))
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return sum(p.nbytes for p in reader.partitions())
+
+    assert read() == 200_000
+    assert read(LessThanOrEqual(("tail_bytes",), 1000)) <= 2000 and read(LessThanOrEqual(("head_bytes",), 1000)) == 2000
+    assert read(EqualTo(("offset",), 500)) == 2 and read(GreaterThanOrEqual(("offset",), 500), LessThan(("offset",), 700)) == 400
+    assert read(EqualTo(("file_path",), f"file://{tmp_path}/a.jsonl")) == 100_000
+    lines = logs.raw_lines(spark, str(tmp_path), split_bytes=777)
+    everything = lines.collect()
+    for n in (0, 1, 995, 1000, 1001, 99_999, 100_000, 10**7):
+        for pushed, plain in ((logs.tail_window(n), logs.in_tail(n)), (logs.head_window(n), logs.in_head(n))):
+            found = sorted((r.file_path, r.offset) for r in lines.filter(pushed).collect())
+            assert found == sorted((r.file_path, r.offset) for r in spark.createDataFrame(everything, lines.schema).filter(plain).collect())
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    both = lines.filter(logs.in_head_or_tail(25, 25))
+    assert sorted(r.offset for r in both.filter("file_path like '%a.jsonl'").collect()) == [0, 10, 99_980, 99_990]
+
+
+def test_children(spark):
+    paths = spark.createDataFrame([("/g/p1/subagents/c1/chat_history.jsonl",), ("/g/p1/subagents/c1/updates.jsonl",), ("/g/p1/subagents/c2/x.json",), ("/g/p2/updates.jsonl",)], "file_path string")
+    assert {tuple(r) for r in logs.child_sessions(paths).collect()} == {("p1", "c1"), ("p1", "c2")}
+
+
+def test_a_stream_follows_growing_files(spark, tmp_path):
+    src, out = tmp_path / "logs", str(tmp_path / "out")
+
+    def drain():
+        logs.streamed_lines(spark, str(src), split_bytes=6).select("file_path", "offset", "value").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r.file_path[-7:], r.offset, r.value) for r in spark.read.parquet(out).collect())
+
+    put(src / "a.jsonl", "one\ntwo\nhal")
+    assert drain() == [("a.jsonl", 0, "one"), ("a.jsonl", 4, "two")]
+    put(src / "a.jsonl", "one\ntwo\nhalf\nnext\n")
+    put(src / "b.jsonl", "new\n")
+    whole = drain()  # each call is a restart from the checkpoint
+    assert whole == sorted((r.file_path[-7:], r.offset, r.value) for r in logs.raw_lines(spark, str(src)).collect())
+    assert drain() == whole
+    put(src / "b.jsonl", "x\n")  # shorter: replaced
+    assert drain() == sorted([*whole, ("b.jsonl", 0, "x")])
