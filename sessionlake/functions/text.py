@@ -1,12 +1,15 @@
 """Column expressions for transcript text: truncation, white space, tags, redaction, handles, paths, time.
 
-All are built from Spark SQL functions; those on whole strings stay inside code generation, functions of array
-elements (redaction line by line, commits) are interpreted. Patterns that face user prose are
+All are built from Spark SQL functions; those on whole strings stay inside code generation, lambda functions
+(redaction, commits) are interpreted. Patterns that face user prose are
 Unicode-aware ((?U)), since Java's classes are ASCII by default. `s` is a column name or a column.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,44 +100,59 @@ def match_key(s: str | Column, chars: int = 200) -> Column:
 # -- redaction -------------------------------------------------------------------------------------
 
 REDACTED = "[REDACTED]"
-#: The forms of credentials.
-PEM = r"(?is)-----BEGIN [^\n]*PRIVATE KEY-----.*?(?:-----END [^\n]*PRIVATE KEY-----[^\n]*|\z)"
-CREDENTIAL = r"""(?i)(?:^|[^A-Za-z0-9_])["']?(?:password|passwd|secret|token|api[_-]?key|authorization|[A-Za-z0-9_]+_(?:password|passwd|secret|token|api[_-]?key|authorization))["']?\s*[:=]"""
-AUTH_HEADER = r"""(?i)\b(?:bearer|basic)\s+[^\s,;"']+"""
-JWT = r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"
-API_TOKEN = r"\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[A-Z0-9]{16})\b"
-USERINFO = r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+:[^/@\s]+@"
-
-
-def _redact_line(line: Column) -> tuple[Column, Column]:
-    """The line without its credentials and the number of redactions."""
-    clean = line
-    whole = clean.rlike(CREDENTIAL) | clean.rlike(AUTH_HEADER)
-    jwt = F.regexp_replace(clean, JWT, REDACTED)
-    key = F.regexp_replace(jwt, API_TOKEN, REDACTED)
-    text = F.when(whole, F.lit(REDACTED)).otherwise(F.regexp_replace(key, USERINFO, r"$1\[REDACTED\]@"))
-    n = F.when(whole, F.lit(1)).otherwise(F.regexp_count(clean, F.lit(JWT)) + F.regexp_count(jwt, F.lit(API_TOKEN)) + F.regexp_count(key, F.lit(USERINFO)))
-    return text, n
+#: Blanks within a line: all Unicode white space but the line break.
+_B = r"[\s&&[^\n]]"
+#: The forms of credentials. All match within one line of a text of many; a key block from its first line to its last.
+PEM = r"(?ims)^(?=[^\n]*-----begin )(?=[^\n]*private key-----)[^\n]*.*?(?:\n(?=[^\n]*-----end )(?=[^\n]*private key-----)[^\n]*|\z)"
+CREDENTIAL = rf"""(?:^|[^A-Za-z0-9_\n])["']?(?:password|passwd|secret|token|api[_-]?key|authorization|[A-Za-z0-9_]+_(?:password|passwd|secret|token|api[_-]?key|authorization))["']?{_B}*[:=]"""
+AUTH_HEADER = rf"""\b(?:bearer|basic){_B}+[^\s,;"']+"""
+LINE = rf"(?imU)^[^\n]*?(?:{CREDENTIAL}|{AUTH_HEADER})[^\n]*"
+JWT = r"(?U)\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"
+API_TOKEN = r"(?U)\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[A-Z0-9]{16})\b"
+USERINFO = r"(?U)([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+:[^/@\s]+@"
+#: Every form holds one of these (in lower case; the last two fold to s and k).
+SIGNS = ("password", "passwd", "secret", "token", "api", "authorization", "bearer", "basic", "private key-----", "eyj", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "akia", "://", "\u017f", "\u212a")
+_CONTROL = r"[\p{Cc}&&[^\t\n]]"
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _holds_sign(s: Column) -> Column:
+    return _let(F.lower(s), lambda low: reduce(or_, (F.contains(low, F.lit(sign)) for sign in SIGNS)))
+
+
+def _cut(s: Column, n: Column, pattern: str, by: str, then) -> Column:
+    """Matches replaced and counted, and the next step on what is left."""
+    return _let(F.struct(F.regexp_replace(s, pattern, by).alias("s"), (n + F.regexp_count(s, F.lit(pattern))).alias("n")), lambda x: then(x.s, x.n))
 
 
 def redact(s: str | Column) -> Column:
-    """struct(text, n): the text without credentials, line by line, and how many redactions that took."""
-    # Control characters go first, so that one of them can stand for a key block.
-    flat = F.regexp_replace(F.regexp_replace(_c(s), r"\r\n?", "\n"), r"[\p{Cc}&&[^\t\n]]", "")
-    lines = F.split(F.regexp_replace(F.regexp_replace(flat, PEM, "\u0002"), r"\n\z", ""), "\n")
+    """struct(text, n): the text without credentials and how many redactions that took. A line that holds a named
+    credential goes as a whole, a key block as one; leading empty lines and the last line break go too.
+
+    Each form is searched once in the whole text, and only in texts that hold one of its SIGNS."""
+    steps = ((LINE, REDACTED), (JWT, REDACTED), (API_TOKEN, REDACTED), (USERINFO, r"$1\[REDACTED\]@"))
+
+    def cleaned(text: Column, n: Column, rest=steps) -> Column:
+        return _cut(text, n, *rest[0], lambda t, m: cleaned(t, m, rest[1:])) if rest else F.struct(text.alias("text"), n.alias("n"))
 
-    def one(line: Column) -> Column:
-        text, n = _redact_line(line)
-        pem = F.contains(line, F.lit("\u0002"))
-        return F.struct(F.when(pem, F.lit(REDACTED)).otherwise(text).alias("text"), F.when(pem, F.lit(1)).otherwise(n).cast("bigint").alias("n"))
+    def whole(raw: Column) -> Column:
+        lines = F.regexp_replace(raw, r"\r\n?", "\n")
+        plain = lambda t: F.regexp_replace(F.regexp_replace(t, _CONTROL, ""), r"\A\n+|\n\z", "")
+        zero = F.lit(0).cast("bigint")
+        # A key block is known by its first line, with or without control characters in it.
+        found = lambda t: _cut(t, zero, PEM, REDACTED, lambda u, n: cleaned(u, n))
+        return _let(plain(lines), lambda t: F.when(_holds_sign(t), found(t)).otherwise(F.struct(t.alias("text"), zero.alias("n"))))
 
-    done = F.transform(lines, one)
-    return F.struct(F.array_join(F.transform(done, lambda x: x.text), "\n").alias("text"), F.aggregate(done, F.lit(0).cast("bigint"), lambda a, x: a + x.n).alias("n"))
+    return _let(_c(s), whole)
 
 
 def has_credential(s: str | Column) -> Column:
     c = _c(s)
-    return c.rlike(CREDENTIAL) | c.rlike(AUTH_HEADER) | c.rlike(JWT) | c.rlike(API_TOKEN) | c.rlike(USERINFO)
+    return _holds_sign(c) & (c.rlike(LINE) | c.rlike(JWT) | c.rlike(API_TOKEN) | c.rlike(USERINFO))
 
 
 def safe_scalar(s: str | Column, n: int) -> Column:

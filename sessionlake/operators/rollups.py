@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,13 +74,16 @@ def cron_previews(rows: DataFrame, n: int = 3, chars: int = 200) -> DataFrame:
     return first_n(rows.filter("kind = 'steer' and origin_kind like 'cron%'"), n).withColumn("preview", T.truncate_chars(T.single_line("text"), chars))
 
 
-#: How commit subjects name their scope.
-SCOPES = r"\b((?:feat|fix|refactor|chore|test)\([^)\s]+\))"
+#: The kinds of commit subjects that name a scope, and what a word that counts as a path holds.
+SCOPED, MARKERS = ("feat", "fix", "refactor", "chore", "test"), ("v5/", "connectors/", "ui/")
 
 
-def commit_hints(texts: DataFrame, paths: tuple[str, ...] = ("crates/", "src/", "docs/"), cap: int = 20) -> DataFrame:
-    """Distinct scopes and path markers that owner and agent texts mention, sorted."""
-    found = F.concat(F.regexp_extract_all("text", F.lit(SCOPES), F.lit(1)), *(F.when(F.contains("text", F.lit(p)), F.array(F.lit(p))).otherwise(F.array().cast("array<string>")) for p in paths))
+def commit_hints(texts: DataFrame, markers: tuple[str, ...] = MARKERS, cap: int = 20) -> DataFrame:
+    """Distinct scopes (of `fix(scope)` and the like) and whole words with a path marker that owner and agent texts mention, sorted."""
+    scopes = [F.regexp_extract_all("text", F.lit(rf"{kind}\(([^)]+)\)"), F.lit(1)) for kind in SCOPED]
+    marked = lambda word: reduce(or_, (F.contains(word, F.lit(m)) for m in markers))
+    words = F.when(marked(F.col("text")), F.filter(F.split("text", r"(?U)\s+"), marked)).otherwise(F.array().cast("array<string>"))
+    found = F.concat(*scopes, words)
     each = texts.select(*KEY, F.explode(F.array_distinct(found)).alias("hint")).distinct()
     w = Window.partitionBy(*KEY).orderBy("hint")
     return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).drop("place")

@@ -68,6 +68,6 @@ def show_records(events: DataFrame, blocks: DataFrame, handles: DataFrame, chars
     own = blocks.select(*KEY, *ORDER, "type", "ts", label.alias("label"), body.alias("body"), F.col("is_compact_summary").alias("whole"))
     piece = lambda name, path: F.struct(F.lit(name).alias("label"), get(path).alias("body"))
     other = events.filter(~F.col("type").isin("user", "assistant")).select(*KEY, "offset", F.lit(0).alias("seq"), "type", "ts", F.explode(F.array(piece("content", "$.content"), piece("error", "$.error.message"), piece("compact_boundary", "$.compactMetadata.trigger"), piece("operation", "$.operation"), piece("reason", "$.reason"), piece("attachment", "$.attachment"))).alias("p"), F.lit(False).alias("whole")).filter("p.body is not null").select(*KEY, *ORDER, "type", "ts", "p.label", "p.body", "whole")
-    found = own.unionByName(other).join(F.broadcast(handles), [*KEY, "offset"], "left_semi")
+    found = own.unionByName(other).join(handles, [*KEY, "offset"], "left_semi")  # Spark broadcasts them if it finds them small
     capped = F.when(F.col("whole"), F.struct(F.col("body").alias("text"), F.lit(0).cast("bigint").alias("truncated_chars"))).otherwise(T.head_chars("body", chars))
     return found.select(*KEY, *ORDER, T.handle("offset").alias("handle"), F.col("type").alias("kind"), F.col("ts").alias("timestamp"), "label", capped.alias("p")).select(*KEY, *ORDER, "handle", "kind", "timestamp", "label", "p.text", "p.truncated_chars").filter("text is not null")

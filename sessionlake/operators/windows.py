@@ -2,16 +2,23 @@
 
 Where a plain aggregate answers the question it is used instead of a window, so a session that holds a
 large part of all rows is pre-aggregated by every task. Rankings keep N rows only: Spark limits each
-group before the shuffle. `by` are the session's columns, `order` the columns of file order.
+group before the shuffle. What needs all rows of a session in order (`ordinals`, `drop_adjacent`, `within_budget`) is
+scanned in segments: rows are dealt out by ranges of session and order, each segment is scanned by itself, and what it needs
+of the segments before it (a sum, a last row) comes from one row a session and segment. So a session of any size is spread
+over as many tasks as it has segments. `by` are the session's columns, `order` the columns of file order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from .normalize import KEY, ORDER
 
 
@@ -32,9 +39,30 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def segmented(df: DataFrame, by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:
+    """df with `segment`: ranges of rows in session and order, about equally large; stored, so that the ranges stay as they are."""
+    return stored(df.repartitionByRange(*by, *order).withColumn("segment", F.spark_partition_id()))
+
+
+def _carried(rows: DataFrame, carries: DataFrame, by: list[str]) -> DataFrame:
+    """rows with what their segment needs of those before it; sessions without a name are sessions too."""
+    own = carries.select(*(F.col(c).alias(f"_{c}") for c in (*by, "segment")), "carry")
+    return rows.join(own, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "segment"))), "left").drop(*(f"_{c}" for c in (*by, "segment")))
+
+
+def running(df: DataFrame, value: Column, name: str, by: list[str] = KEY, order: list[str] = ORDER, backwards: bool = False) -> DataFrame:
+    """df with the running sum of `value` up to each row of its session, in order (or from the end)."""
+    way = F.desc if backwards else F.asc
+    rows = segmented(df.withColumn(name, value.cast("bigint")), by, order)
+    before = Window.partitionBy(*by).orderBy(way("segment")).rowsBetween(Window.unboundedPreceding, -1)
+    carries = rows.groupBy(*by, "segment").agg(F.sum(name).alias("own")).withColumn("carry", F.coalesce(F.sum("own").over(before), F.lit(0).cast("bigint")))
+    inside = Window.partitionBy(*by, "segment").orderBy(*(way(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    return _carried(rows.withColumn(name, F.sum(name).over(inside)), carries, by).withColumn(name, F.col(name) + F.col("carry")).drop("segment", "carry")
+
+
 def ordinals(df: DataFrame, by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:
     """Each row's place in its session, from 0."""
-    return _ranked(df, by, order, False).withColumn("ordinal", (F.col("rank") - 1).cast("bigint")).drop("rank")
+    return running(df, F.lit(1), "ordinal", by, order).withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def latest(df: DataFrame, columns: list[str], by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:
@@ -58,9 +86,12 @@ def after_boundary(df: DataFrame, is_boundary: Column, by: list[str] = KEY, orde
 
 def drop_adjacent(df: DataFrame, same: list[Column], by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:
     """Without rows equal (in `same`) to the row before; of an equal run the first stays."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    named = df.withColumn("same", F.struct(*(c.alias(f"s{i}") for i, c in enumerate(same))))
-    return named.withColumn("before", F.lag("same").over(w)).filter(F.col("before").isNull() | (F.col("before") != F.col("same"))).drop("same", "before")
+    rows = segmented(df.withColumn("same", F.struct(*(c.alias(f"s{i}") for i, c in enumerate(same)))), by, order)
+    at = F.struct(*order)
+    lasts = rows.groupBy(*by, "segment").agg(F.max_by("same", at).alias("last")).withColumn("carry", F.lag("last").over(Window.partitionBy(*by).orderBy("segment")))
+    w = Window.partitionBy(*by, "segment").orderBy(*order)
+    placed = _carried(rows.withColumn("before", F.lag("same").over(w)), lasts, by).withColumn("before", F.coalesce("before", "carry"))
+    return placed.filter(F.col("before").isNull() | (F.col("before") != F.col("same"))).drop("same", "before", "segment", "carry")
 
 
 def drop_adjacent_messages(messages: DataFrame, **options) -> DataFrame:
@@ -107,8 +138,7 @@ def span_between(rows: DataFrame, start: int, end: int | None = None, forward: i
 
 def within_budget(rows: DataFrame, size: Column, budget: int, by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:
     """The newest rows whose running size stays within budget; `running` is that size."""
-    newest = Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size.cast("bigint")).over(newest)).filter(F.col("running") <= budget)
+    return running(rows, size, "running", by, order, backwards=True).filter(F.col("running") <= budget)
 
 
 def tiered_excerpts(rows: DataFrame, shown: int, whole: int, chars: int = 4000, by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:

@@ -121,6 +121,8 @@ def agent_digest(lines: DataFrame, delegations: DataFrame, reports: int = 5, ope
 def session_list(lines: DataFrame, limit: int = 30, tail: int = TAIL) -> DataFrame:
     """The newest sessions with topic, first prompt, last message and a warning. File times alone choose them; only their
     lines are then parsed."""
+    if not 1 <= limit <= 100:
+        raise ValueError("a list holds 1 to 100 sessions")
     files = lines.groupBy(*KEY).agg(F.max("modified_at").alias("updated_at"), F.max("file_size").alias("size_bytes"))
     chosen = files.orderBy(F.desc("updated_at"), "session_id").limit(limit)
     own = lines.join(F.broadcast(chosen.select(*KEY)), KEY, "left_semi")

@@ -9,6 +9,8 @@ for each source, `pages` as file paths.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from .functions import text as T
 from .operators import classify, correlate, normalize, redact, rollups, search, windows
 from .plans import digest as digests
 from .sources import logs
+from .sources.scratch import shared_dir
 
 QUERIES, ORACLE = {}, {}
 S, O = ["session_id"], ["offset", "seq"]
@@ -441,23 +444,49 @@ def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.distinct_files(_paths(spark, sf_dir), 5, by=["host"])
 
 
-_CRED = T.CREDENTIAL.replace("'", "''")
+#: What the query plants behind every document, by doc_id modulo 8, what must come of it, and how many redactions it costs.
+_PLANTED = [
+    ("", "", 0),
+    ("\npassword\u00a0: hunter2\nnext", "\n[REDACTED]\nnext", 1),
+    ("\ncall bearer\u2003abc.def now", "\n[REDACTED]", 1),
+    ("\n-----BEGIN RSA PRIVATE KEY-----\nMIIabc\npassword: x\n-----END RSA PRIVATE KEY-----\nnext", "\n[REDACTED]\nnext", 1),
+    ("\npass\u0007word: x\n\nbell\u0007s", "\n[REDACTED]\n\nbells", 1),
+    ("\nkey sk-abcdefghijklmnop12, https://me:pw@host/x", "\nkey [REDACTED], https://[REDACTED]@host/x", 2),
+    ("\neyJabcdefgh1.abcdefgh12.abcdefgh12 my_token = 3\n-----begin private key-----", "\n[REDACTED]\n[REDACTED]", 2),
+    ("\r\ntokens and secrets, basic\nthings\r\n", "\ntokens and secrets, basic\nthings", 0),
+]
+
+
+def _chosen(i: int) -> str:
+    quoted = lambda x: " || ".join(f"chr({ord(c)})" if ord(c) < 32 or ord(c) > 126 else f"'{c}'" for c in x) or "''"
+    return "case doc_id % 8 " + " ".join(f"when {k} then {quoted(p[i]) if i < 2 else p[i]}" for k, p in enumerate(_PLANTED)) + " end"
+
+
+#: The forms of credentials in the SQL engine's own terms, line by line; its blanks are ASCII only.
+_LINE_SQL = r"""(?i)(^|[^a-z0-9_])["'']?([a-z0-9_]+_)?(password|passwd|secret|token|api[_-]?key|authorization)["'']?[\s\x{a0}\x{2003}]*[:=]|\b(bearer|basic)[\s\x{a0}\x{2003}]+[^\s,;"'']+"""
+_PARTS_SQL = (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", r"\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[A-Z0-9]{16})\b", r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+:[^/@\s]+@")
 _REDACTED = rf"""
 with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
-r as (select *, regexp_matches(line, '{_CRED}') or regexp_matches(line, '{T.AUTH_HEADER.replace("'", "''")}') as whole from l),
-t as (select doc_id, source, i, case when whole then 1 else len(regexp_extract_all(line, '{T.JWT}')) + len(regexp_extract_all(line, '{T.API_TOKEN}')) + len(regexp_extract_all(line, '{T.USERINFO}')) end as n,
-  case when whole then '[REDACTED]' else regexp_replace(regexp_replace(regexp_replace(line, '{T.JWT}', '[REDACTED]', 'g'), '{T.API_TOKEN}', '[REDACTED]', 'g'), '{T.USERINFO}', '\1[REDACTED]@', 'g') end as line from r)"""
+r as (select *, regexp_matches(line, '{_LINE_SQL}') as whole from l),
+t as (select doc_id, source, i, case when whole then 1 else len(regexp_extract_all(line, '{_PARTS_SQL[0]}')) + len(regexp_extract_all(line, '{_PARTS_SQL[1]}')) + len(regexp_extract_all(line, '{_PARTS_SQL[2]}')) end as n,
+  case when whole then '[REDACTED]' else regexp_replace(regexp_replace(regexp_replace(line, '{_PARTS_SQL[0]}', '[REDACTED]', 'g'), '{_PARTS_SQL[1]}', '[REDACTED]', 'g'), '{_PARTS_SQL[2]}', '\1[REDACTED]@', 'g') end as line from r),
+d as (select doc_id, source, sum(n) + {_chosen(2)} as n, string_agg(line, chr(10) order by i) || {_chosen(1)} as text from t group by doc_id, source)"""
+
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plants = F.element_at(F.array(*(F.lit(p[0]) for p in _PLANTED)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", plants))
 
-@registered(_REDACTED + " select doc_id, cast(sum(n) as bigint) as redactions, md5(string_agg(line, chr(10) order by i)) as digest from t group by doc_id")
+
+@registered(_REDACTED + " select doc_id, cast(n as bigint) as redactions, md5(ltrim(text, chr(10))) as digest from d")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = redact.redact_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = redact.redact_column(_planted(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "redactions", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@registered(_REDACTED + " select source, count(distinct doc_id) as rows, cast(sum(n) as bigint) as redactions from t group by source")
+@registered(_REDACTED + " select source, count(*) as rows, cast(sum(n) as bigint) as redactions from d group by source")
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.redaction_counts(redact.redact_column(table(spark, sf_dir, "documents").select("source", "text")), "source")
+    return redact.redaction_counts(redact.redact_column(_planted(spark, sf_dir).select("source", "text")), "source")
 
 
 @registered("select source, count(*) as lines, cast(sum(strlen(text)) as bigint) as bytes from documents group by source")
@@ -465,16 +494,32 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.scan_stats(table(spark, sf_dir, "documents").select("source", F.col("text").alias("value")), "source")
 
 
-_LOG = """with d as (select doc_id, source, strlen(text) as nbytes, sum(strlen(text) + 1) over (partition by source order by doc_id) - strlen(text) - 1 as "offset", sum(strlen(text) + 1) over (partition by source) as file_size from documents)"""
+_LOG = r"""with l as (select doc_id, source, doc_id || ' ' || regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') as line from documents),
+d as (select doc_id, source, line, strlen(line) as nbytes, cast(sum(strlen(line) + 1) over (partition by source order by doc_id) - strlen(line) - 1 as bigint) as "offset", sum(strlen(line) + 1) over (partition by source) as file_size from l)"""
+
+
+def _written_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written as one log for each source, a line a document."""
+    path = shared_dir(spark)
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", line.alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(path)
+    return path
+
+
+def _log_lines(spark: SparkSession, path: str, **window) -> DataFrame:
+    lines = logs.raw_lines(spark, path, glob="part-*", split_bytes=256 << 10, **window)
+    return lines.withColumn("source", F.regexp_extract("file_path", "/source=([^/]*)/", 1)).withColumn("doc_id", F.substring_index("value", " ", 1).cast("bigint"))
 
 
 def _source_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one log for each source, in order of doc_id."""
-    from pyspark.sql.window import Window
+    """The logs read back by byte ranges."""
+    return _log_lines(spark, _written_logs(spark, sf_dir))
+
 
-    size = (F.octet_length("text") + 1).cast("bigint")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", (size - 1).alias("nbytes"), F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum(size).over(Window.partitionBy("source")).alias("file_size"))
+@registered(_LOG + """ select doc_id, source, "offset", nbytes, md5(line) as digest from d""")
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source_logs(spark, sf_dir).select("doc_id", "source", "offset", "nbytes", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
 @registered(_LOG + """ select doc_id, ("offset" + nbytes + 1 <= 20000 or file_size <= 20000) as in_head, (file_size <= 30000 or "offset" > file_size - 30000) as in_tail, file_size > 30000 as truncated from d""")
@@ -482,6 +527,22 @@ def head_tail_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _source_logs(spark, sf_dir).select("doc_id", logs.in_head(20_000).alias("in_head"), logs.in_tail(30_000).alias("in_tail"), logs.truncated(30_000).alias("truncated"))
 
 
-@registered(_LOG + """ select doc_id, '@o' || cast("offset" as bigint) as handle, cast("offset" as bigint) as parsed from d""")
+@registered(_LOG + """ select doc_id, 'tail' as part from d where file_size <= 30000 or "offset" > file_size - 30000 union all select doc_id, 'head' from d where "offset" + nbytes + 1 <= 20000 or file_size <= 20000
+union all select doc_id, 'after' from d where "offset" >= 25000 and "offset" + nbytes <= 45000 union all select doc_id, 'before' from d where "offset" < 25000 and "offset" >= 5000""")
+def log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every log, each reading only its bytes."""
+    path = _written_logs(spark, sf_dir)
+    parts = {"tail": {"tail": 30_000}, "head": {"head": 20_000}, "after": {"start": 25_000, "end": 45_001}, "before": {"start": 5000, "end": 25_000}}
+    found = reduce(DataFrame.unionByName, (_log_lines(spark, path, **w).withColumn("part", F.lit(name)) for name, w in parts.items()))
+    return found.filter((F.col("part") != "after") | logs.after(25_000, 20_000)).select("doc_id", "part")
+
+
+@registered(_LOG + """ select doc_id, true as is_meta, false as malformed from d where "offset" = 0
+union all select doc_id, false, false from (select doc_id, row_number() over (partition by source order by "offset" desc) as r from d where "offset" > 0 and (file_size <= 50000 or "offset" > file_size - 50000)) where r <= 12""")
+def bounded_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.bounded_records(_source_logs(spark, sf_dir), 50_000, 12, "source").select("doc_id", "is_meta", "malformed")
+
+
+@registered(_LOG + """ select doc_id, '@o' || "offset" as handle, "offset" as parsed from d""")
 def byte_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _source_logs(spark, sf_dir).select("doc_id", T.handle("offset").alias("handle"), T.parse_handle(T.handle("offset")).alias("parsed"))

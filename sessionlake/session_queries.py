@@ -94,7 +94,7 @@ def main_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(et == "error", cat("toolu_", i)).otherwise(cat("toolu_", i - 14))
     records = [
         F.when(et == "error", obj(type="ai-title", sessionId=F.col("session").cast("string"), aiTitle=cat("ai ", k))).otherwise(obj(type="custom-title", sessionId=F.col("session").cast("string"), customTitle=cat("title ", k))),
-        user(cat("ask ", i, " in src/ for fix(k", k, ")"), userType="external"),
+        user(cat("ask ", i, " in ui/p for fix(k", k, ")"), userType="external"),
         agent(obj(type="thinking", thinking="hm"), say(cat("plan ", k)), call("Task", cat("toolu_", i), description=cat("job ", k), subagent_type="explore", run_in_background=True)),
         user(result(cat("toolu_", i - 1), "started"), toolUseResult=Raw(obj(agentId=cat("ag", k)))),
         agent(call("Bash", cat("c", i), command=cat("git -C /r/", k, " commit -m x"))),
@@ -164,7 +164,7 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _B = _E + """, b as (
-  select *, 0 as seq, 'text' as block_type, case step when 1 then 'ask ' || i || ' in src/ for fix(k' || k || ')' when 9 then 'summary ' || i when 15 then 'ignored' when 17 then '[Request interrupted by user] ' || i when 22 then 'last ' || i
+  select *, 0 as seq, 'text' as block_type, case step when 1 then 'ask ' || i || ' in ui/p for fix(k' || k || ')' when 9 then 'summary ' || i when 15 then 'ignored' when 17 then '[Request interrupted by user] ' || i when 22 then 'last ' || i
     else '<task-notification><tool-use-id>toolu_' || (case et when 'error' then i else i - 14 end) || '</tool-use-id><status>' || (case et when 'click' then 'error' else 'completed' end) || '</status><result>done ' || k || '</result></task-notification>' end as text,
     cast(null as varchar) as tool_use_id, cast(null as varchar) as tool_name, cast(null as varchar) as result_text from e where step in (1, 9, 15, 16, 17) or step = 22 and et in ('view', 'click')
   union all select *, 0, 'thinking', null, null, null, null from e where step = 2
@@ -341,7 +341,7 @@ def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _id(rollups.file_touches(_blocks(spark, sf_dir))).select("session_id", "path", "n", "last_offset")
 
 
-@registered(_E + """select session_id, 'fix(k' || k || ')' as hint from e where step = 1 union select session_id, 'src/' from e where step = 1 union select session_id, 'docs/' from e where step = 20 and et <> 'signup'""")
+@registered(_E + """select session_id, 'k' || k as hint from e where step = 1 union select session_id, 'ui/p' from e where step = 1""")
 def commit_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = digests.normalized(main_lines(spark, sf_dir))["messages"]
     return _id(rollups.commit_hints(said.filter("kind in ('owner', 'agent')"))).select("session_id", "hint")
@@ -363,7 +363,7 @@ def session_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _G = _IN + _D + """
 , z as (select session_id, max("offset") filter (step = 8 and et = 'purchase') as boundary, count(*) filter (step = 8 and et = 'purchase') as compactions, max(ts) filter (step = 8 and et = 'purchase') as compacted, arg_max('/w/' || k, "offset") filter (step not in (0, 12, 23)) as cwd,
     arg_max('b' || k, "offset") filter (step not in (0, 12, 23)) as branch, count(*) filter (step not in (0, 12, 23)) as n_events, max(case step when 0 then case et when 'error' then 'ai ' || k else 'title ' || k end end) as title, max(case step when 0 then case et when 'error' then 'ai_title' else 'custom_title' end end) as title_kind,
-    min(case step when 1 then 'ask ' || i || ' in src/ for fix(k' || k || ')' end) as asked, count(*) filter (step = 2) as subagents, count(*) filter (step = 18) as tasks from e group by session_id)
+    min(case step when 1 then 'ask ' || i || ' in ui/p for fix(k' || k || ')' end) as asked, count(*) filter (step = 2) as subagents, count(*) filter (step = 18) as tasks from e group by session_id)
 , p as (select n.*, coalesce(n."offset" > z.boundary, true) as later from n join z using (session_id))
 , q as (select b.*, coalesce(b."offset" > z.boundary, true) as later from b join z using (session_id))
 , s as (select s.*, coalesce(s."offset" > z.boundary, true) as later from (""" + _STUCK + """) s join z using (session_id))

@@ -7,6 +7,8 @@ blank lines go and invalid UTF-8 is replaced. Order within a session is offset o
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,14 +19,44 @@ from . import ranges
 MAX_LINE_BYTES = 1 << 20
 
 
-def raw_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None, glob: str = "*.jsonl", split_bytes: int | None = None) -> DataFrame:
+#: File systems that executors reach without Spark's help; logs in any other are read by Spark's own text reader.
+REACHED = ("", "file", "s3", "gs")
+
+
+def raw_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None, glob: str = "*.jsonl", head: int | None = None, tail: int | None = None, start: int | None = None, end: int | None = None, files: list[str] | None = None, split_bytes: int | None = None) -> DataFrame:
     """file_path, file_size, modified_at, offset, nbytes, head_bytes, tail_bytes, valid_utf8, value of every line that isn't blank.
 
-    Each execution reads the files as long as they were when it was planned; store the lines where several jobs must see
-    the same state."""
-    ranges.register(spark)
-    lines = spark.read.format(ranges.NAME).options(**ranges.options(paths, modified_after=modified_after, glob=glob, split_bytes=split_bytes)).load()
-    return _decoded(lines)
+    `head`, `tail`, `start`, `end` and `files` keep lines of the first or last bytes, of [start, end), of these files: only these
+    bytes are read. Each execution reads the files as long as they were when it was planned; store the lines where several
+    jobs must see the same state."""
+    some = [paths] if isinstance(paths, str) else list(paths)
+    if all((p.partition(":")[0] if ":" in p.partition("/")[0] else "") in REACHED for p in some):
+        ranges.register(spark)
+        more = {"modified_after": modified_after, "glob": glob, "head": head, "tail": tail, "start": start, "end": end, "files": json.dumps(files) if files is not None else None, "split_bytes": split_bytes}
+        lines = spark.read.format(ranges.NAME).options(**ranges.options(some, **more)).load()
+    else:
+        lines = _text_lines(spark, some, modified_after, glob)
+    found = _decoded(lines)
+    for n, window in ((head, head_window), (tail, tail_window), (start, lambda n: F.col("offset") >= n), (end, lambda n: F.col("offset") < n), (files, lambda x: F.col("file_path").isin(x))):
+        found = found if n is None else found.filter(window(n))
+    return found
+
+
+def _text_lines(spark: SparkSession, paths: list[str], modified_after: str | None, glob: str) -> DataFrame:
+    """The columns of `ranges` by Spark's text reader, for stores that only Spark reaches. A line's offset is a prefix sum of
+    byte lengths in two levels, first inside each file block and then over the blocks' totals."""
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    m = "_metadata"
+    lines = reader.text(paths).select("value", F.col(f"{m}.file_path").alias("file_path"), F.col(f"{m}.file_size").alias("file_size"), F.col(f"{m}.file_modification_time").alias("modified_at"), F.col(f"{m}.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), (F.octet_length("value") + 1).cast("bigint").alias("size"))
+    block = Window.partitionBy("file_path", "block").orderBy("row")
+    within = lines.withColumn("inside", F.sum("size").over(block.rowsBetween(Window.unboundedPreceding, -1)))
+    totals = lines.groupBy("file_path", "block").agg(F.sum("size").alias("total"))
+    before = totals.withColumn("before", F.sum("total").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select("file_path", "block", "before")
+    offset, nbytes, size = F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0)), F.col("size") - 1, F.col("file_size")
+    placed = within.join(before, ["file_path", "block"]).withColumn("offset", offset)
+    return placed.select("file_path", "file_size", "modified_at", "offset", nbytes.alias("nbytes"), F.least(F.col("offset") + F.col("size"), size).alias("head_bytes"), (size - F.col("offset") + (F.col("offset") > 0).cast("bigint")).alias("tail_bytes"), F.col("value").cast("binary").alias("raw"))
 
 
 def streamed_lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl", split_bytes: int | None = None) -> DataFrame:
@@ -57,12 +89,12 @@ def in_tail(n: int) -> Column:
 
 
 def head_window(n: int) -> Column:
-    """in_head on lines of `raw_lines`, in a form that decides which bytes are read."""
+    """in_head on lines of `raw_lines`, as one comparison."""
     return F.col("head_bytes") <= n
 
 
 def tail_window(n: int) -> Column:
-    """in_tail on lines of `raw_lines`, in a form that decides which bytes are read."""
+    """in_tail on lines of `raw_lines`, as one comparison."""
     return F.col("tail_bytes") <= n
 
 
@@ -146,13 +178,13 @@ def lookup(sessions: DataFrame, needle: str, least: int = 1, newest: bool = Fals
     one, unless `newest` takes the latest."""
     exact = sessions.filter(F.col("session_id") == needle)
     found = sessions.filter(F.startswith("session_id", F.lit(needle)) | (F.col("session_id") == needle)) if len(needle) >= least else exact
-    # An exact id wins over longer ids that start with it. One row of counts, summed by every task, joins all matches.
+    # An exact id wins over longer ids that start with it. Two numbers, summed by every task, say which case it is.
     own = F.col("session_id") == needle
-    counts = found.agg(F.count("*").alias("all"), F.count_if(own).alias("exact"))
-    kept = found.crossJoin(F.broadcast(counts)).filter(own | (F.col("exact") == 0))
+    matches, equal = found.agg(F.count("*"), F.count_if(own)).first()
+    kept = found.filter(own) if equal else found
     if newest:
-        return kept.drop("all", "exact").orderBy(F.desc("updated_at"), "session_id").limit(1).withColumn("n_matches", F.lit(1).cast("bigint"))
-    return kept.withColumn("n_matches", F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("all"))).drop("all", "exact")
+        return kept.orderBy(F.desc("updated_at"), "session_id").limit(1).withColumn("n_matches", F.lit(1).cast("bigint"))
+    return kept.withColumn("n_matches", F.lit(equal or matches).cast("bigint"))
 
 
 # -- sidecars --------------------------------------------------------------------------------------

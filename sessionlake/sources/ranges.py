@@ -5,12 +5,17 @@ partition reads its ranges by seeking: a line belongs to the range that it begin
 a line skips to the next one and reads its last line to the end, but not beyond the snapshot. A line's offset is
 where it was found; no shuffle counts bytes. Small files and ranges share a partition, large files are split.
 
-Filters on these columns decide what is read at all (Spark tests them again):
+Options decide what is read at all, as seeks; `logs.raw_lines` filters the lines that come back once more:
 
-    file_path                       files
-    offset                          a handle, or the bytes before or after one
-    head_bytes <= n                 the first n bytes: the smallest head window that holds the line whole
-    tail_bytes <= n                 the last n bytes: the smallest tail window that holds it (whose first, maybe partial line is dropped)
+    files                 a JSON list of file paths
+    start, end            handles: lines that begin at these bytes or between them
+    head                  the first n bytes: lines that lie in them whole
+    tail                  the last n bytes: lines of them, but for the first, maybe partial one
+
+They are options and not pushed filters, because Spark (4.1) keeps what a Python source accepts for a relation, not for
+each of its scans: two differently filtered uses of one relation in a query would both read the same ranges.
+
+Columns head_bytes and tail_bytes hold the smallest head and tail window that a line lies in.
 
 As a stream, its offset is a map from file to the byte after the last complete line read: a line that is still
 being written waits for its end, a restart goes on where the checkpoint says, and a file that has become shorter
@@ -18,7 +23,7 @@ was replaced and is read anew. The map has an entry a file, so a stream should w
 not a whole archive.
 
 Files are reached through pyarrow's file systems (local, S3, GCS, HDFS with libhdfs). Options: path (a JSON list, or one path),
-glob (*.jsonl), modified_after (ISO time), split_bytes, batch_bytes.
+glob (*.jsonl), modified_after (ISO time), split_bytes, batch_bytes and those above.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Executors need no copy of this package: the module travels with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -161,37 +166,16 @@ def batches(partition: Ranges, block: int = BATCH) -> Iterator[pa.RecordBatch]:
 class LogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
-        self.files: set[str] | None = None
-        self.low, self.high, self.head, self.tail = 0, None, None, None
-
-    def pushFilters(self, filters):
-        least = lambda a, b: b if a is None else min(a, b)
-        for f in filters:
-            name = ".".join(getattr(f, "attribute", ()))
-            kind, value = type(f), getattr(f, "value", None)
-            if name == "file_path" and kind in (EqualTo, In):
-                some = {value} if kind is EqualTo else set(value)
-                self.files = some if self.files is None else self.files & some
-            elif isinstance(value, int) and name == "offset":
-                if kind in (EqualTo, GreaterThan, GreaterThanOrEqual):
-                    self.low = max(self.low, value + (kind is GreaterThan))
-                if kind in (EqualTo, LessThan, LessThanOrEqual):
-                    self.high = least(self.high, value + (kind is not LessThan))
-            elif isinstance(value, int) and name in ("head_bytes", "tail_bytes") and kind in (EqualTo, LessThan, LessThanOrEqual):
-                value -= kind is LessThan
-                if name == "head_bytes":
-                    self.head = least(self.head, value)
-                else:
-                    self.tail = least(self.tail, value)
-            yield f  # ranges only leave out lines that fail it
 
     def partitions(self):
-        files = listed(json.loads(self.options["path"]), self.options.get("glob", "*.jsonl"), self.options.get("modified_after"))
+        number = lambda name: int(self.options[name]) if name in self.options else None
+        start, end, head, tail = map(number, ("start", "end", "head", "tail"))
+        only = set(json.loads(self.options["files"])) if "files" in self.options else None
         wanted = []
-        for f in files:
-            lo = max(self.low, f.size - self.tail + 1 if self.tail is not None and self.tail < f.size else 0)
-            hi = min(x for x in (f.size, self.high, self.head) if x is not None)
-            if lo < hi and (self.files is None or f.path in self.files):
+        for f in listed(json.loads(self.options["path"]), self.options.get("glob", "*.jsonl"), self.options.get("modified_after")):
+            lo = max(start or 0, f.size - tail + 1 if tail is not None and tail < f.size else 0)
+            hi = min(x for x in (f.size, end, head) if x is not None)
+            if lo < hi and (only is None or f.path in only):
                 wanted.append((f, lo, hi))
         return split(wanted, int(self.options.get("split_bytes", SPLIT))) or [Ranges([])]
 
@@ -254,7 +238,6 @@ class LogSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LogSource)
 
 

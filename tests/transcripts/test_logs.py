@@ -134,30 +134,40 @@ def test_a_snapshot_ends_where_the_file_ended(tmp_path):
     assert [(r["offset"], r["raw"], r["terminated"], r["file_size"]) for r in rows] == [(0, b"one", True, 11), (4, b"two", True, 11), (8, b"thr", False, 11)]
 
 
-def test_filters_decide_what_is_read(spark, tmp_path):
-    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan, LessThanOrEqual
-
+def test_windows_decide_what_is_read(spark, tmp_path):
     for name in "ab":
         put(tmp_path / f"{name}.jsonl", "".join(f"{i:09d}\n" for i in range(10_000)))
 
-    def read(*filters):
-        reader = ranges.LogReader(ranges.options(str(tmp_path)))
-        assert list(reader.pushFilters(list(filters))) == list(filters)
-        return sum(p.nbytes for p in reader.partitions())
+    def read(**options):
+        return sum(p.nbytes for p in ranges.LogReader(ranges.options(str(tmp_path), **options)).partitions())
 
     assert read() == 200_000
-    assert read(LessThanOrEqual(("tail_bytes",), 1000)) <= 2000 and read(LessThanOrEqual(("head_bytes",), 1000)) == 2000
-    assert read(EqualTo(("offset",), 500)) == 2 and read(GreaterThanOrEqual(("offset",), 500), LessThan(("offset",), 700)) == 400
-    assert read(EqualTo(("file_path",), f"file://{tmp_path}/a.jsonl")) == 100_000
+    assert read(tail=1000) <= 2000 and read(head=1000) == 2000
+    assert read(start=500, end=501) == 2 and read(start=500, end=700) == 400 and read(start=10**6) == 0
+    assert read(files=json.dumps([f"file://{tmp_path}/a.jsonl"])) == 100_000
     lines = logs.raw_lines(spark, str(tmp_path), split_bytes=777)
-    everything = lines.collect()
-    for n in (0, 1, 995, 1000, 1001, 99_999, 100_000, 10**7):
-        for pushed, plain in ((logs.tail_window(n), logs.in_tail(n)), (logs.head_window(n), logs.in_head(n))):
-            found = sorted((r.file_path, r.offset) for r in lines.filter(pushed).collect())
-            assert found == sorted((r.file_path, r.offset) for r in spark.createDataFrame(everything, lines.schema).filter(plain).collect())
     assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
-    both = lines.filter(logs.in_head_or_tail(25, 25))
-    assert sorted(r.offset for r in both.filter("file_path like '%a.jsonl'").collect()) == [0, 10, 99_980, 99_990]
+    everything = spark.createDataFrame(lines.collect(), lines.schema)
+    places = lambda df: sorted((r.file_path, r.offset) for r in df.collect())
+    for n in (0, 1, 995, 1000, 1001, 99_999, 100_000, 10**7):
+        both = logs.raw_lines(spark, str(tmp_path), tail=n, split_bytes=777).unionByName(logs.raw_lines(spark, str(tmp_path), head=n))
+        assert places(both) == places(everything.filter(logs.in_tail(n)).unionByName(everything.filter(logs.in_head(n))))
+    assert places(logs.raw_lines(spark, str(tmp_path), start=495, end=520, files=[f"file://{tmp_path}/b.jsonl"])) == [(f"file://{tmp_path}/b.jsonl", o) for o in (500, 510)]
+    assert places(lines.filter(logs.in_head_or_tail(25, 25)).filter("file_path like '%a.jsonl'")) == [(f"file://{tmp_path}/a.jsonl", o) for o in (0, 10, 99_980, 99_990)]
+
+
+def test_spark_s_text_reader_gives_the_same_lines(spark, tmp_path):
+    put(tmp_path / "a.jsonl", "".join("é" * (i % 50) + f"line {i}\n" * (i % 3) for i in range(900)) + "half")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        columns = ["file_size", "offset", "nbytes", "head_bytes", "tail_bytes", "raw"]
+        rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+        ranges.register(spark)
+        own = spark.read.format(ranges.NAME).options(**ranges.options(str(tmp_path), split_bytes=500)).load()
+        assert rows(logs._text_lines(spark, [str(tmp_path)], None, "*.jsonl")) == rows(own)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_children(spark):

@@ -58,12 +58,28 @@ def test_tags(one):
         ("keep\x02this line\n", "keepthis line", 0),
         ("a\x02\n-----begin private key-----\nMII\n-----end private key-----", "a\n[REDACTED]", 1),
         ("pass\x07word: x\nfine", "[REDACTED]\nfine", 1),
+        ("password\u00a0: hunter2", "[REDACTED]", 1),
+        ("a\nbearer\u2003abc.def z\nb", "a\n[REDACTED]\nb", 1),
+        ("token\n= 1\nbasic\nx", "token\n= 1\nbasic\nx", 0),
+        ("x\npassword: 1\ntoken=2\n\nend", "x\n[REDACTED]\n[REDACTED]\n\nend", 2),
+        ("\n\nfirst\n", "first", 0),
+        ("get http://a:b@c and http://d:e@f, sk-abcdefghijklmnop12", "get http://[REDACTED]@c and http://[REDACTED]@f, [REDACTED]", 3),
+        ("-----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----\nsecret stays hidden\n--- -----END x PRIVATE KEY----- z\nafter", "[REDACTED]\nafter", 1),
+        ("\u017fecret: x", "[REDACTED]", 1),
+        ("my_token_count 3, tokens: 4", "my_token_count 3, tokens: 4", 0),
     ],
 )
 def test_redaction(one, s, want, n):
     assert tuple(one(T.redact("s"), s)) == (want, n)
 
 
+def test_a_long_key_block_and_a_long_line(one):
+    block = "-----BEGIN PRIVATE KEY-----\n" + "MIIabcdefgh\n" * 50_000 + "-----END PRIVATE KEY-----\nend"
+    assert tuple(one(T.redact("s"), block)) == ("[REDACTED]\nend", 1)
+    long = "tokens and secrets " * 50_000
+    assert tuple(one(T.redact("s"), long + "\npassword=1")) == (long + "\n[REDACTED]", 1)
+
+
 def test_ids_and_paths(one):
     assert one(T.parse_handle("s"), "@o12") == 12 and one(T.parse_handle("s"), "7") == 7 and one(T.parse_handle("s"), "@x") is None
     uuid = "0190aaaa-bbbb-7ccc-8ddd-eeeeeeeeeeee"
