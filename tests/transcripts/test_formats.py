@@ -176,7 +176,7 @@ def test_digest(spark):
     assert (d.topic, d.topic_source, d.compaction_count, d.cwd, d.unanswered) == ("Head title", "custom_title", 1, "/new", True)
     assert [m.text for m in d.owner_messages] == ["after", "fix(core) open question"] and [p.text for p in d.first_prompts] == ["before", "after", "fix(core) open question"]
     assert [r.text for r in d.reports] == ["report"] and [e.text for e in d.errors] == ["api: boom"] and d.compaction_summary.excerpt == "summary text"
-    assert d.open_work.tool_name == "TaskUpdate" and d.open_work.raw_input == '{"id":"1"}' and d.hints == ["fix(core)"]
+    assert d.open_work.tool_name == "TaskUpdate" and d.open_work.raw_input == '{"id":"1"}' and d.hints == ["core"]
     assert [(f.path, f.n) for f in d.files] == [("src/a.py", 1)] and str(d.first_event_time) == "2026-01-01 00:00:01" and d.size_bytes == 1 << 20
     head = digest.digest(lines(spark, rows), tail=1 << 19).first()  # every marker lies before the tail; a first prompt ranks below
     assert head.topic_source == "custom_title"
@@ -272,3 +272,17 @@ def test_search(spark):
     with pytest.raises(ValueError):
         windows.span_between(entries, 10, 10)
     assert windows.span_between(entries, 0, 200).count() == 2
+
+
+def test_commit_hints(spark):
+    """The scope alone, whatever stands before its kind; whole words with a marker; sorted, each once, at most `cap`."""
+    rows = [("fix(ok) prefeat(x) feat(big scope) docs(no) fix()",), ("see web/ui/a.ts, v5/b and src/c; fix(ok)",), ("fix(feat(y)",)]
+    said = spark.createDataFrame([("main", "s", i, 0, *r) for i, r in enumerate(rows)], "format string, session_id string, offset bigint, seq int, text string")
+    assert sorted(r.hint for r in rollups.commit_hints(said).collect()) == ["big scope", "feat(y", "ok", "v5/b", "web/ui/a.ts,", "x", "y"]
+    assert [r.hint for r in rollups.commit_hints(said, cap=2).orderBy("hint").collect()] == ["big scope", "feat(y"]
+
+
+def test_a_list_holds_1_to_100_sessions(spark):
+    for n in (0, 101):
+        with pytest.raises(ValueError):
+            digest.session_list(None, limit=n)
