@@ -26,11 +26,15 @@ def tool_histogram(calls: DataFrame, by: list[str] = KEY, names: int | None = No
     return counted.orderBy(*by, F.desc("n"), name)
 
 
+def writes(blocks: DataFrame) -> DataFrame:
+    """Calls that write a file, with its path."""
+    path = T.slashes(F.coalesce(text_at("$.file_path", "input"), text_at("$.notebook_path", "input")))
+    return blocks.filter(F.col("block_type") == "tool_use").filter(F.col("tool_name").isin(WRITES)).withColumn("path", path).filter("path is not null")
+
+
 def file_touches(blocks: DataFrame) -> DataFrame:
     """Files written in each session, how often and where last; newest first."""
-    path = T.slashes(F.coalesce(text_at("$.file_path", "input"), text_at("$.notebook_path", "input")))
-    writes = blocks.filter(F.col("block_type") == "tool_use").filter(F.col("tool_name").isin(WRITES)).withColumn("path", path).filter("path is not null")
-    return touches(writes)
+    return touches(writes(blocks))
 
 
 def touches(rows: DataFrame, by: list[str] = KEY, path: str = "path", at: str = "offset") -> DataFrame:
@@ -78,13 +82,18 @@ def cron_previews(rows: DataFrame, n: int = 3, chars: int = 200) -> DataFrame:
 SCOPED, MARKERS = ("feat", "fix", "refactor", "chore", "test"), ("v5/", "connectors/", "ui/")
 
 
-def commit_hints(texts: DataFrame, markers: tuple[str, ...] = MARKERS, cap: int = 20) -> DataFrame:
-    """Distinct scopes (of `fix(scope)` and the like) and whole words with a path marker that owner and agent texts mention, sorted."""
+def mentions(texts: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+    """Each text's distinct hints: scopes (of `fix(scope)` and the like) and whole words with a path marker; offset is kept if there."""
     scopes = [F.regexp_extract_all("text", F.lit(rf"{kind}\(([^)]+)\)"), F.lit(1)) for kind in SCOPED]
     marked = lambda word: reduce(or_, (F.contains(word, F.lit(m)) for m in markers))
     words = F.when(marked(F.col("text")), F.filter(F.split("text", r"(?U)\s+"), marked)).otherwise(F.array().cast("array<string>"))
-    found = F.concat(*scopes, words)
-    each = texts.select(*KEY, F.explode(F.array_distinct(found)).alias("hint")).distinct()
+    kept = [c for c in texts.columns if c in (*KEY, "offset")]
+    return texts.select(*kept, F.explode(F.array_distinct(F.concat(*scopes, words))).alias("hint"))
+
+
+def commit_hints(texts: DataFrame, markers: tuple[str, ...] = MARKERS, cap: int = 20) -> DataFrame:
+    """Distinct hints (`mentions`) of owner and agent texts, sorted; the first `cap` of each session."""
+    each = mentions(texts, markers).select(*KEY, "hint").distinct()
     w = Window.partitionBy(*KEY).orderBy("hint")
     return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).drop("place")
 
@@ -138,11 +147,22 @@ def usage_totals(rows: DataFrame, by: list[str]) -> DataFrame:
 # -- open work -------------------------------------------------------------------------------------
 
 
+def tracks_work() -> Column:
+    return (F.col("block_type") == "tool_use") & F.col("tool_name").isin("TodoWrite", "TaskCreate", "TaskUpdate")
+
+
+def tracked_work(offset: Column, ts: Column, name: Column, json: Column, shown: int = 20, raw_chars: int = 800) -> Column:
+    """What a task-tracking call says, as a struct: its todos, or its raw input."""
+    todos = F.transform(get("$.todos", "array<variant>", F.try_parse_json(json)), lambda t: F.struct(F.try_variant_get(t, "$.status", "string").alias("status"), F.try_variant_get(t, "$.content", "string").alias("content")))
+    raw = T.head_chars(json, raw_chars)
+    return F.struct(
+        T.handle(offset).alias("handle"), ts.alias("timestamp"), name.alias("tool_name"), F.slice(todos, 1, shown).alias("todos"), F.greatest(F.size(todos) - shown, F.lit(0)).cast("bigint").alias("todos_omitted"),
+        F.when(todos.isNull(), raw.text).alias("raw_input"), F.when(todos.isNull(), raw.truncated_chars).alias("raw_input_truncated_chars"),
+    )
+
+
 def open_work(blocks: DataFrame, shown: int = 20, raw_chars: int = 800) -> DataFrame:
     """The session's last task-tracking call: its todos, or its raw input."""
-    calls = blocks.filter("block_type = 'tool_use'").filter(F.col("tool_name").isin("TodoWrite", "TaskCreate", "TaskUpdate"))
-    last = calls.groupBy(*KEY).agg(F.max_by(F.struct("offset", "ts", "tool_name", F.to_json("input").alias("json")), F.struct(*ORDER)).alias("c"))
-    v = F.try_parse_json("c.json")
-    todos = F.transform(get("$.todos", "array<variant>", v), lambda t: F.struct(F.try_variant_get(t, "$.status", "string").alias("status"), F.try_variant_get(t, "$.content", "string").alias("content")))
-    raw = F.when(todos.isNull(), T.head_chars("c.json", raw_chars))
-    return last.select(*KEY, T.handle("c.offset").alias("handle"), F.col("c.ts").alias("timestamp"), "c.tool_name", F.slice(todos, 1, shown).alias("todos"), F.greatest(F.size(todos) - shown, F.lit(0)).cast("bigint").alias("todos_omitted"), raw.text.alias("raw_input"), raw.truncated_chars.alias("raw_input_truncated_chars"))
+    last = blocks.filter(tracks_work()).groupBy(*KEY).agg(F.max_by(F.struct("offset", "ts", "tool_name", F.to_json("input").alias("json")), F.struct(*ORDER)).alias("c"))
+    work = tracked_work(F.col("c.offset"), F.col("c.ts"), F.col("c.tool_name"), F.col("c.json"), shown, raw_chars)
+    return last.select(*KEY, work.alias("w")).select(*KEY, "w.*")

@@ -99,6 +99,10 @@ def drop_adjacent_messages(messages: DataFrame, **options) -> DataFrame:
     return drop_adjacent(messages, [F.col("role"), T.single_line("text")], **options)
 
 
+#: The topic of a session that says nothing.
+NO_TOPIC = "Empty session"
+
+
 def topic(values: DataFrame, by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:
     """Topic and where it came from. values: kind (custom_title, ai_title, agent_name, last_prompt, first_prompt), text,
     in_tail. The tail's last value of the best kind wins, then the head's, then the first prompt."""
@@ -109,7 +113,7 @@ def topic(values: DataFrame, by: list[str] = KEY, order: list[str] = ORDER) -> D
     found = values.groupBy(*by).agg(*(pick(k, t) for t in (True, False) for k in kinds), first)
     ranked = [(f"{k}_{t}", k) for t in (True, False) for k in kinds] + [("first_prompt", "first_prompt")]
     source = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(k)) for c, k in ranked), F.lit("none"))
-    return found.select(*by, F.coalesce(*(F.col(c) for c, _ in ranked), F.lit("Empty session")).alias("topic"), source.alias("topic_source"))
+    return found.select(*by, F.coalesce(*(F.col(c) for c, _ in ranked), F.lit(NO_TOPIC)).alias("topic"), source.alias("topic_source"))
 
 
 def unanswered(rows: DataFrame, asked: Column, answered: Column, by: list[str] = KEY, order: list[str] = ORDER) -> DataFrame:

@@ -1,13 +1,16 @@
 """Digests: everything a person needs to resume a session, one row for each, and the session list.
 
-Each section is its own grouped job over the normalized tables; sections are ranked before they are
-collected, so an array never holds more than its cap, and then joined on the session.
+The main format's sections are rows of one long-form table, limited and gathered by one aggregate. In the reports of the other
+formats each section is its own grouped job, ranked before it is collected, so an array never holds more than its cap.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import classify, correlate, normalize, redact, rollups, windows
@@ -42,61 +45,180 @@ def normalized(lines: DataFrame) -> dict[str, DataFrame]:
     return {"events": events, "blocks": blocks, "attachments": attachments, "incoming": incoming, "system": system, "queue": normalize.queue_operations(events), "messages": classify.messages(incoming, blocks)}
 
 
+TITLES = ("custom_title", "ai_title", "agent_name", "last_prompt")
+
+
+def _title_text() -> Column:
+    return F.coalesce(*(normalize.text_at(f"$.{k}") for k in ("customTitle", "aiTitle", "agentName", "lastPrompt", "title", "name", "prompt")))
+
+
 def titles(events: DataFrame, incoming: DataFrame, tail: int = TAIL) -> DataFrame:
     """Candidates for a session's topic, with in_tail."""
-    value = F.coalesce(*(normalize.text_at(f"$.{k}") for k in ("customTitle", "aiTitle", "agentName", "lastPrompt", "title", "name", "prompt")))
-    kinds = {"custom-title": "custom_title", "ai-title": "ai_title", "agent-name": "agent_name", "last-prompt": "last_prompt"}
-    marks = events.filter(F.col("type").isin(list(kinds))).select(*KEY, "offset", F.lit(0).alias("seq"), F.replace(F.col("type"), F.lit("-"), F.lit("_")).alias("kind"), value.alias("text"), (logs.tail_start(tail) <= F.col("offset")).alias("in_tail"))
+    value = _title_text()
+    marks = events.filter(F.col("type").isin([k.replace("_", "-") for k in TITLES])).select(*KEY, "offset", F.lit(0).alias("seq"), F.replace(F.col("type"), F.lit("-"), F.lit("_")).alias("kind"), value.alias("text"), (logs.tail_start(tail) <= F.col("offset")).alias("in_tail"))
     first = windows.first_n(incoming.filter("kind = 'owner'"), 1).select(*KEY, *ORDER, F.lit("first_prompt").alias("kind"), "text", F.lit(False).alias("in_tail"))
     return marks.unionByName(first)
 
 
+#: What delegations, commits and task lists show of themselves.
+FACTS = ("short_id", "agent_id", "description", "agent_type", "status", "excerpt", "repo", "branch", "hash", "subject", "tool_name")
+#: Payload of a section's row: what any section shows; the rest is null.
+PAYLOAD = {"text": "string", "ts": "timestamp", "sender": "string", "delivery": "string", "handback": "boolean", "n": "bigint", "facts": f"struct<{', '.join(f'{c}: string' for c in FACTS)}>"}
+#: Sections that show what came before the last compact boundary too.
+WHOLE = ("first_prompts", "summary", "open_work", "delegations")
+
+
+def _tagged(rows: DataFrame, *tags: tuple[str, Column, dict[str, Column]], first: tuple[str, ...] = (), at: tuple[str, str] = ("offset", "seq")) -> DataFrame:
+    """Long form of several sections in one scan: rows once for each tag whose condition holds. `late` says which of a
+    session's rows of a tag are kept: the latest, or the earliest for tags in `first`."""
+
+    def one(tag: str, holds: Column, payload: dict[str, Column]) -> Column:
+        sign = -1 if tag in first else 1
+        late = [(F.col(c) * sign).cast("bigint").alias(f"late{i}") for i, c in enumerate(at)]
+        fields = [payload.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in PAYLOAD.items()]
+        return F.when(holds, F.struct(F.lit(tag).alias("tag"), *late, F.col(at[0]).cast("bigint").alias("offset"), F.col(at[1]).cast("bigint").alias("seq"), *fields))
+
+    each = F.explode(F.array_compact(F.array(*(one(*t) for t in tags))))
+    return rows.select(*KEY, each.alias("row")).select(*KEY, "row.*")
+
+
+def _kept(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """The rows that sections show, at most caps[tag] of a session and tag, with `rank` from the last."""
+    order = Window.partitionBy(*KEY, "tag").orderBy(F.desc("late0"), F.desc("late1"), F.col("text"))
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(caps.values()))
+    shown = F.create_map(*(F.lit(x) for tag in caps.items() for x in tag))
+    return ranked.filter(F.col("rank") <= F.try_element_at(shown, F.col("tag")))
+
+
+def _facts(*names: str) -> Column:
+    return F.struct(*((F.col(c) if c in names else F.lit(None)).cast("string").alias(c) for c in FACTS))
+
+
+def _headers(events: DataFrame, tail: int) -> DataFrame:
+    """One aggregate over the events: latest values, time span and title candidates."""
+    at, told = F.col("offset"), ["cwd", "git_branch", "entrypoint", "version"]
+    kind = F.replace(F.col("type"), F.lit("-"), F.lit("_"))
+    title, in_tail = F.when(F.col("type").isin([k.replace("_", "-") for k in TITLES]), _title_text()), logs.tail_start(tail) <= at
+    e = events.select(*KEY, "offset", *told, "ts", kind.alias("kind"), title.alias("title"), in_tail.alias("in_tail"))
+    last = lambda c, holds: F.max_by(c, F.when(holds & F.col(c).isNotNull(), at))
+    picks = [last("title", (F.col("kind") == k) & (F.col("in_tail") == F.lit(t))).alias(f"{k}_{t}") for t in (True, False) for k in TITLES]
+    timed = F.when(F.col("ts").isNotNull(), at)
+    return e.groupBy(*KEY).agg(*(last(c, F.lit(True)).alias(c) for c in told), F.min_by("ts", timed).alias("first_event_time"), F.max_by("ts", timed).alias("last_event_time"), F.count("ts").alias("n_events"), *picks)
+
+
+def _counted(incoming: DataFrame, blocks: DataFrame, leftovers: DataFrame, delegations: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Files, hints and numbers of rows after the boundary, each counted once for a session, as rows of sections."""
+    texts = incoming.filter(F.col("kind").isin("owner", "owner_mid_turn")).select(*KEY, "offset", "text").unionByName(blocks.filter(_said()).select(*KEY, "offset", "text"))
+    seen = lambda df, tag, value: df.select(*KEY, "offset", F.lit(tag).alias("tag"), value.alias("text"))
+    found = seen(rollups.mentions(texts), "hints", F.col("hint")).unionByName(seen(rollups.writes(blocks), "files", F.col("path"))).unionByName(seen(leftovers, "leftover", F.lit("")))
+    later = found.join(boundary, KEY, "left").filter(F.col("boundary").isNull() | (F.col("offset") > F.col("boundary")))
+    each = later.select(*KEY, "offset", "tag", "text").unionByName(seen(delegations, "subagents", F.lit("")))
+    counts = each.groupBy(*KEY, "tag", "text").agg(F.count("*").alias("n"), F.max("offset").alias("offset"))
+    late = F.when(F.col("tag") == "hints", F.lit(0)).otherwise(F.col("offset")).cast("bigint")
+    empty = [F.lit(None).cast(kind).alias(c) for c, kind in PAYLOAD.items() if c not in ("text", "n")]
+    return counts.select(*KEY, "tag", late.alias("late0"), F.lit(0).cast("bigint").alias("late1"), "offset", F.lit(0).cast("bigint").alias("seq"), "text", "n", *empty)
+
+
+def _said() -> Column:
+    return F.expr("type = 'assistant' and block_type = 'text' and not is_sidechain and text is not null")
+
+
 def digest(lines: DataFrame, meta: DataFrame | None = None, caps: dict[str, int] | None = None, tail: int = TAIL, head: int = HEAD) -> DataFrame:
-    """One row for each session of the main format: header and all sections."""
+    """One row for each session of the main format: header and all sections.
+
+    Sections are rows of one long-form table (session, tag, payload). It is limited to the rows that sections show, before and after one
+    shuffle, and brought together by one aggregate, so a session costs a bounded list whatever its length. The last N rows after the last boundary
+    are those of the last N that lie after it: sections are cut at the boundary when they are shown, not by a join."""
     caps = CAPS | (caps or {})
     t = normalized(lines)
     events, blocks, system, incoming = t["events"], t["blocks"], t["system"], t["incoming"]
-    boundary = system.filter("is_boundary").groupBy(*KEY).agg(F.max("offset").alias("boundary"))
-    recent = lambda df: df.join(boundary, KEY, "left").filter(F.col("boundary").isNull() | (F.col("offset") > F.col("boundary"))).drop("boundary")
-
-    header = windows.latest(events.withColumn("seq", F.lit(0)), ["cwd", "git_branch", "entrypoint", "version"])
-    span = windows.time_span(events.withColumn("seq", F.lit(0)))
-    owners = recent(incoming.filter(F.col("kind").isin("owner", "owner_mid_turn", "owner_command")))
-    peers = recent(incoming.filter("kind = 'peer'"))
-    said = recent(blocks.filter("type = 'assistant' and block_type = 'text' and not is_sidechain and text is not null"))
-    calls = recent(blocks.filter("type = 'assistant' and block_type = 'tool_use'"))
-    facts = correlate.correlated(correlate.launches(blocks), correlate.results(blocks), correlate.notifications(incoming.filter("kind = 'task_notification'")))
+    facts = stored(correlate.correlated(correlate.launches(blocks), correlate.results(blocks), correlate.notifications(incoming.filter("kind = 'task_notification'"))))  # three sections read these
     delegations = correlate.delegations(facts, meta)
     users = windows.first_n(blocks.filter("type = 'user' and block_type = 'text'"), 1, by=[*KEY, "offset"], order=["seq"])
-    stuck = recent(correlate.stuck_queue(t["queue"], users, t["attachments"]))
-    texts = recent(incoming.filter(F.col("kind").isin("owner", "owner_mid_turn")).select(*KEY, "offset", "text")).unionByName(said.select(*KEY, "offset", "text"))
-    asked = recent(incoming).select(*KEY, *ORDER, F.col("kind").isin("owner", "owner_mid_turn", "owner_command", "interrupt").alias("asked"), F.lit(False).alias("answered")).unionByName(recent(blocks.filter("type = 'assistant' and block_type = 'text'")).select(*KEY, *ORDER, F.lit(False).alias("asked"), F.lit(True).alias("answered")))
-    summary = windows.last_n(incoming.filter("kind = 'compact_summary'"), 1).select(*KEY, F.struct(_handle(), F.col("ts").alias("timestamp"), F.length("text").cast("bigint").alias("total_chars"), T.head_chars("text", caps["summary_chars"]).text.alias("excerpt")).alias("compaction_summary"))
-    cut = lambda n: T.truncate_chars("text", n).alias("text")
-    sections = [
-        span, header, windows.topic(titles(events, incoming, tail)), rollups.session_bytes(lines), rollups.compaction_stats(system), summary,
-        delegations.groupBy(*KEY).agg(F.count("*").alias("subagent_count")),
-        section(incoming.filter("kind = 'owner'"), "first_prompts", caps["first_prompts"], _handle(), F.col("text"), last=False),
-        section(owners, "owner_messages", caps["owner"], _handle(), cut(caps["owner_chars"]), F.col("ts").alias("timestamp"), "delivery"),
-        section(peers, "peer_messages", caps["peers"], _handle(), cut(caps["peer_chars"]), "sender", "handback", F.col("ts").alias("timestamp")),
-        section(said, "reports", caps["reports"], _handle(), F.when(F.col("rank") == 1, T.truncate_chars("text", caps["last_report_chars"])).otherwise(T.truncate_chars("text", caps["report_chars"])).alias("text")),
-        section(calls, "operations", caps["operations"], _handle(), normalize.describe("tool_name", "input").alias("text")),
-        section(recent(system.filter("is_error")), "errors", caps["errors"], _handle(), F.col("error_text").alias("text")),
-        section(recent(incoming.filter("kind = 'interrupt'")), "interrupts", caps["interrupts"], _handle(), "text"),
-        section(stuck.filter(F.col("kind").isin("owner", "owner_command")), "stuck", caps["stuck"], _handle(), "text", F.col("ts").alias("timestamp")),
-        stuck.filter(F.col("kind").isin("peer", "task_notification")).groupBy(*KEY).agg(F.count("*").alias("other_leftover_count")),
-        windows.unanswered(asked, F.col("asked"), F.col("answered")).select(*KEY, "unanswered"),
-        rollups.open_work(blocks).select(*KEY, F.struct("handle", "timestamp", "tool_name", "todos", "todos_omitted", "raw_input", "raw_input_truncated_chars").alias("open_work")),
-        section(delegations, "delegations", caps["delegations"], "handle", "short_id", "agent_id", "description", "agent_type", "status", "excerpt"),
-        correlate.background_totals(correlate.background_tasks(facts)).select(*KEY, F.struct("launched", "still_running").alias("background")),
-        section(correlate.commits(recent(blocks), header.select(*KEY, "cwd")), "commits", caps["commits"], "handle", "repo", "branch", "hash", "subject"),
-        section(rollups.file_touches(recent(blocks)).withColumnRenamed("last_offset", "offset").withColumn("seq", F.lit(0)), "files", caps["files"], _handle(), "n", "path"),
-        rollups.commit_hints(texts, cap=caps["hints"]).groupBy(*KEY).agg(F.array_sort(F.collect_list("hint")).alias("hints")),
+    stuck = stored(correlate.stuck_queue(t["queue"], users, t["attachments"]))  # so do two with these
+    boundary = system.filter("is_boundary").groupBy(*KEY).agg(F.max("offset").alias("boundary"))
+
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    text, cut = F.col("text"), lambda n: T.truncate_chars("text", n)
+    called, spoke = F.expr("type = 'assistant' and block_type = 'tool_use'"), F.expr("type = 'assistant' and block_type = 'text'")
+    heard = _tagged(
+        incoming,
+        ("first_prompts", is_("owner"), {"text": text}),
+        ("owner_messages", is_("owner", "owner_mid_turn", "owner_command"), {"text": cut(caps["owner_chars"]), "ts": F.col("ts"), "delivery": F.col("delivery")}),
+        ("peer_messages", is_("peer"), {"text": cut(caps["peer_chars"]), "ts": F.col("ts"), "sender": F.col("sender"), "handback": F.col("handback")}),
+        ("interrupts", is_("interrupt"), {"text": text}),
+        ("summary", is_("compact_summary"), {"text": T.head_chars("text", caps["summary_chars"]).text, "ts": F.col("ts"), "n": F.length("text")}),
+        ("asked", is_("owner", "owner_mid_turn", "owner_command", "interrupt"), {}),
+        first=("first_prompts",),
+    )
+    told = _tagged(
+        blocks,
+        ("reports", _said(), {"text": text}),
+        ("operations", called, {"text": normalize.describe("tool_name", "input")}),
+        ("open_work", rollups.tracks_work(), {"text": F.to_json("input"), "ts": F.col("ts"), "facts": _facts("tool_name")}),
+        ("answered", spoke, {}),
+    )
+    shown = [
+        heard, told,
+        _tagged(system, ("errors", F.col("is_error"), {"text": F.col("error_text")})),
+        _tagged(stuck, ("stuck", is_("owner", "owner_command"), {"text": text, "ts": F.col("ts")})),
+        _tagged(delegations, ("delegations", F.lit(True), {"facts": _facts("short_id", "agent_id", "description", "agent_type", "status", "excerpt")})),
+        _tagged(correlate.commits(blocks), ("commits", F.lit(True), {"facts": _facts("repo", "branch", "hash", "subject")})),
+        _counted(incoming, blocks, stuck.filter(is_("peer", "task_notification")), delegations, boundary),
     ]
-    out = events.select(*KEY).distinct()
-    for part in sections:
+    most = {"owner_messages": caps["owner"], "peer_messages": caps["peers"], **{c: caps[c] for c in ("first_prompts", "reports", "operations", "errors", "interrupts", "stuck", "delegations", "commits", "files", "hints")}}
+    kept = _kept(reduce(DataFrame.unionByName, shown), most | dict.fromkeys(("summary", "open_work", "asked", "answered", "leftover", "subagents"), 1))
+    report = F.when(F.col("rank") == 1, cut(caps["last_report_chars"])).otherwise(cut(caps["report_chars"]))
+    kept = kept.withColumn("text", F.when(F.col("tag") == "reports", report).otherwise(text))
+    gathered = kept.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("offset", "seq", "tag", *PAYLOAD))).alias("rows"))
+
+    out = _headers(events, tail)
+    for part in (boundary, rollups.session_bytes(lines), rollups.compaction_stats(system), correlate.background_totals(correlate.background_tasks(facts)).select(*KEY, F.struct("launched", "still_running").alias("background")), gathered):
         out = out.join(part, KEY, "left")
-    return out
+    return _shown(out)
+
+
+def _shown(d: DataFrame) -> DataFrame:
+    """The digest's columns from the gathered rows."""
+    later = lambda x: F.col("boundary").isNull() | (x.offset > F.col("boundary"))
+    of = lambda tag, cut=True: F.filter("rows", lambda x: (x.tag == tag) & (later(x) if cut and tag not in WHOLE else F.lit(True)))
+    handle = lambda x: T.handle(x.offset).alias("handle")
+    fact = lambda x, *names: [x.facts[n].alias(n) for n in names]
+
+    def listed(tag: str, *fields) -> Column:
+        found = F.transform(of(tag), lambda x: F.struct(*(c for f in fields for c in f(x))))
+        return F.when(F.size(found) > 0, found).alias(tag)
+
+    base = lambda x: [handle(x), x.text.alias("text")]
+    stamp = lambda x: [x.ts.alias("timestamp")]
+    only = lambda tag, **k: F.get(of(tag, **k), 0)
+    place = lambda x: F.when(x.isNotNull(), F.struct(x.offset.alias("offset"), x.seq.alias("seq")))
+    asked, answered, summary, work = place(only("asked")), place(only("answered")), only("summary"), only("open_work")
+    unanswered = F.when(asked.isNotNull() | answered.isNotNull(), asked.isNotNull() & (answered.isNull() | (asked > answered)))
+    first = F.get(of("first_prompts"), 0).text
+    ranked = [(F.col(f"{k}_{t}"), k) for t in (True, False) for k in TITLES] + [(first, "first_prompt")]
+    source = F.coalesce(*(F.when(c.isNotNull(), F.lit(k)) for c, k in ranked), F.lit("none"))
+    hints = F.array_sort(F.transform(of("hints", cut=False), lambda x: x.text))
+    return d.select(
+        *KEY, "first_event_time", "last_event_time", "n_events", "cwd", "git_branch", "entrypoint", "version",
+        F.coalesce(*(c for c, _ in ranked), F.lit(windows.NO_TOPIC)).alias("topic"), source.alias("topic_source"),
+        "size_bytes", "compaction_count", "last_compaction_time",
+        F.when(summary.isNotNull(), F.struct(handle(summary), summary.ts.alias("timestamp"), summary.n.alias("total_chars"), summary.text.alias("excerpt"))).alias("compaction_summary"),
+        only("subagents", cut=False).n.alias("subagent_count"),
+        listed("first_prompts", base),
+        listed("owner_messages", base, stamp, lambda x: [x.delivery.alias("delivery")]),
+        listed("peer_messages", base, lambda x: [x.sender.alias("sender"), x.handback.alias("handback")], stamp),
+        listed("reports", base), listed("operations", base), listed("errors", base), listed("interrupts", base),
+        listed("stuck", base, stamp),
+        only("leftover", cut=False).n.alias("other_leftover_count"),
+        unanswered.alias("unanswered"),
+        F.when(work.isNotNull(), rollups.tracked_work(work.offset, work.ts, work.facts["tool_name"], work.text)).alias("open_work"),
+        listed("delegations", lambda x: [handle(x)], lambda x: fact(x, "short_id", "agent_id", "description", "agent_type", "status", "excerpt")),
+        "background",
+        listed("commits", lambda x: [handle(x), F.coalesce(x.facts["repo"], F.col("cwd")).alias("repo")], lambda x: fact(x, "branch", "hash", "subject")),
+        listed("files", lambda x: [handle(x), x.n.alias("n"), x.text.alias("path")]),
+        F.when(F.size(hints) > 0, hints).alias("hints"),
+    )
 
 
 def agent_digest(lines: DataFrame, delegations: DataFrame, reports: int = 5, operations: int = 15, errors: int = 10, files: int = 20) -> DataFrame:
