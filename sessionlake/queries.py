@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import classify, correlate, normalize, redact, rollups, search, windows
+from .operators import classify, correlate, forest, normalize, redact, rollups, search, windows
 from .plans import digest as digests
 from .sources import logs
 from .sources.scratch import shared_dir
@@ -546,3 +546,36 @@ def bounded_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(_LOG + """ select doc_id, '@o' || "offset" as handle, "offset" as parsed from d""")
 def byte_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _source_logs(spark, sf_dir).select("doc_id", T.handle("offset").alias("handle"), T.parse_handle(T.handle("offset")).alias("parsed"))
+
+
+# -- the delegation forest -------------------------------------------------------------------------
+# Each event is a session, numbered within its user. A signup was launched by nobody, a view by the user's event before it, an error whose
+# k ends in 7 by the event after it (with a view there, a cycle), any other by event k mod its number.
+
+_EDGES = """
+n as (select event_id as session, user_id, event_type as t, cast(json_extract_string(props, '$.k') as bigint) as k, cast(round(value * 100) as bigint) as tokens, row_number() over (partition by user_id order by event_id) - 1 as i from events),
+w as (select *, case when t = 'signup' then null when t = 'view' then i - 1 when t = 'error' and k % 10 = 7 then i + 1 when i > 0 then k % i end as pi from n),
+g as (select w.session, w.t, w.tokens, p.session as parent from w left join n p on p.user_id = w.user_id and p.i = w.pi),
+f as (select session, session as root, 0 as depth from g where parent is null union all select g.session, f.root, f.depth + 1 from g join f on g.parent = f.session)"""
+
+
+def _launched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (child, parent) and measures (session, tokens, open) of the events."""
+    rows = windows.ordinals(operations(spark, sf_dir), by=S).select("session_id", "offset", "name", "value", F.col("call_id").cast("bigint").alias("k"), F.col("ordinal").alias("i"))
+    i, k, name = F.col("i"), F.col("k"), F.col("name")
+    place = F.when(name == "signup", None).when(name == "view", i - 1).when((name == "error") & (k % 10 == 7), i + 1).when(i > 0, F.expr("try_mod(k, i)"))
+    named = rows.withColumn("place", place).filter("place is not null").select("session_id", F.col("offset").alias("child"), F.col("place").alias("i"))
+    edges = named.join(rows.select("session_id", "i", F.col("offset").alias("parent")), ["session_id", "i"]).select("child", "parent")
+    return edges, rows.select(F.col("offset").alias("session"), F.round(F.col("value") * 100).cast("bigint").alias("tokens"), (name == "click").cast("bigint").alias("open"))
+
+
+@registered(f"with recursive {_EDGES} select g.session, f.root, f.depth from g left join f using (session) where g.parent is not null or g.session in (select parent from g)")
+def delegation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.forest(_launched(spark, sf_dir)[0])
+
+
+@registered(f"""with recursive {_EDGES} select f.root, count(*) as n_sessions, max(f.depth) as max_depth, cast(sum(g.tokens) as bigint) as tokens, count(*) filter (g.t = 'click') as "open"
+from g left join f using (session) group by f.root""")
+def delegation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, measures = _launched(spark, sf_dir)
+    return forest.rolled_up(forest.forest(edges), measures, ["tokens", "open"])

@@ -186,6 +186,19 @@ def test_digest(spark):
     assert (s.topic, s.last_message_handle, s.warning) == ("Head title", "@o1000", "last message unanswered")
 
 
+def test_digest_sections_are_cut_at_the_boundary_and_at_their_caps(spark):
+    boundary = event("system", 5, subtype="compact_boundary")
+    some = [agent([call("Write", f"w{i}", file_path=f"f{i:02d}.py", content="x"), call("Edit", f"e{i}", file_path="same.py"), {"type": "text", "text": f"said v5/h{i:02d}"}], i) for i in range(25)]
+    rows = [user(f"old {i}", i) for i in range(10)] + [agent("fix(gone)", i) for i in range(2)] + [boundary] + some + [user(f"new {i}", i) for i in range(4)]
+    d = digest.digest(lines(spark, rows)).first()
+    assert [m.text for m in d.owner_messages] == [f"new {i}" for i in range(4)] and [m.text for m in d.first_prompts] == ["old 0", "old 1", "old 2"]
+    assert [r.text for r in d.reports] == [f"said v5/h{i:02d}" for i in range(20, 25)] and len(d.operations) == 10
+    assert len(d.files) == 20 and ("same.py", 25) in {(f.path, f.n) for f in d.files} and d.hints == [f"v5/h{i:02d}" for i in range(20)]
+    assert d.unanswered and d.stuck is None and d.other_leftover_count is None and d.subagent_count is None
+    old = digest.digest(lines(spark, rows + [boundary])).first()
+    assert old.owner_messages is None and old.files is None and old.hints is None and old.unanswered is None and len(old.first_prompts) == 3
+
+
 def test_results_do_not_depend_on_the_order_of_rows(spark):
     rows = [user(f"q{i}", i) if i % 3 == 0 else agent(f"a{i}", i) for i in range(30)]
     whole = lines(spark, rows)
