@@ -19,27 +19,42 @@ def status(raw: str | Column) -> Column:
     return F.when(raw.isin("failed", "error"), F.lit("failed")).otherwise(raw)
 
 
-def launches(blocks: DataFrame) -> DataFrame:
-    """Delegations (Agent, Task) and background shell tasks on the main chain; the first sighting of an id counts."""
+def launch_rows(blocks: DataFrame) -> DataFrame:
+    """Delegations (Agent, Task) and background shell tasks on the main chain, every sighting of an id."""
     i = lambda k: text_at(f"$.{k}", "input")
     background = F.coalesce(get("$.run_in_background", "boolean", "input"), F.lit(False))
     kind = F.when(F.col("tool_name").isin("Agent", "Task"), "delegation").when((F.col("tool_name") == "Bash") & background, "background")
     calls = blocks.filter("type = 'assistant' and block_type = 'tool_use' and not is_sidechain").withColumn("kind", kind).filter("kind is not null and tool_use_id is not null")
-    row = F.struct("offset", "seq", "kind", F.col("ts").alias("launched_at"), i("description").alias("description"), i("subagent_type").alias("agent_type"), i("prompt").alias("prompt"), i("command").alias("command"), background.alias("run_in_background"))
-    return calls.groupBy(*KEY, "tool_use_id").agg(F.min_by(row, F.struct(*ORDER)).alias("l")).select(*KEY, "tool_use_id", "l.*")
+    return calls.select(*KEY, "tool_use_id", *ORDER, "kind", F.col("ts").alias("launched_at"), i("description").alias("description"), i("subagent_type").alias("agent_type"), i("prompt").alias("prompt"), i("command").alias("command"), background.alias("run_in_background"))
 
 
-def notifications(texts: DataFrame) -> DataFrame:
-    """Status and excerpt of each `<task-notification>` text, by the call id it names; the last one counts."""
+def launches(blocks: DataFrame) -> DataFrame:
+    """The first sighting of each launch."""
+    rows = launch_rows(blocks)
+    row = F.struct(*(c for c in rows.columns if c not in (*KEY, "tool_use_id")))
+    return rows.groupBy(*KEY, "tool_use_id").agg(F.min_by(row, F.struct(*ORDER)).alias("l")).select(*KEY, "tool_use_id", "l.*")
+
+
+def notification_rows(texts: DataFrame) -> DataFrame:
+    """Status and excerpt of each `<task-notification>` text, by the call id it names."""
     found = texts.filter(F.contains("text", F.lit("<task-notification>"))).select(*KEY, *ORDER, F.coalesce(T.tag("text", "tool-use-id"), T.tag("text", "tool_use_id")).alias("tool_use_id"), T.tag("text", "status").alias("raw"), F.coalesce(T.tag("text", "result"), T.tag("text", "summary")).alias("excerpt"))
-    return found.filter("tool_use_id is not null").groupBy(*KEY, "tool_use_id").agg(F.max_by(F.struct("raw", "excerpt", "offset"), F.struct(*ORDER)).alias("n")).select(*KEY, "tool_use_id", F.col("n.raw").alias("notified"), F.col("n.excerpt").alias("notified_excerpt"), F.col("n.offset").alias("notified_at"))
+    return found.filter("tool_use_id is not null")
 
 
-def results(blocks: DataFrame) -> DataFrame:
+def notifications(texts: DataFrame) -> DataFrame:
+    """The last notification of each call."""
+    return notification_rows(texts).groupBy(*KEY, "tool_use_id").agg(F.max_by(F.struct("raw", "excerpt", "offset"), F.struct(*ORDER)).alias("n")).select(*KEY, "tool_use_id", F.col("n.raw").alias("notified"), F.col("n.excerpt").alias("notified_excerpt"), F.col("n.offset").alias("notified_at"))
+
+
+def result_rows(blocks: DataFrame) -> DataFrame:
     """What tool results say of a launch: the agent's id, a synchronous text, a background task's id."""
-    found = blocks.filter("block_type = 'tool_result'").select(*KEY, *ORDER, "tool_use_id", text_at("$.agentId", "outcome").alias("agent_id"), F.col("result_text").alias("sync_excerpt"), F.nullif(F.regexp_extract("result_text", "background with ID: ([^. \n]*)", 1), F.lit("")).alias("task_id"))
+    return blocks.filter("block_type = 'tool_result'").select(*KEY, *ORDER, "tool_use_id", text_at("$.agentId", "outcome").alias("agent_id"), F.col("result_text").alias("sync_excerpt"), F.nullif(F.regexp_extract("result_text", "background with ID: ([^. \n]*)", 1), F.lit("")).alias("task_id"))
+
+
+def results(blocks: DataFrame) -> DataFrame:
+    """The last of each that a call's results say."""
     at = F.struct(*ORDER)
-    return found.groupBy(*KEY, "tool_use_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("agent_id", "sync_excerpt", "task_id")), F.max("offset").alias("result_at"))
+    return result_rows(blocks).groupBy(*KEY, "tool_use_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("agent_id", "sync_excerpt", "task_id")), F.max("offset").alias("result_at"))
 
 
 def correlated(launches: DataFrame, results: DataFrame, notifications: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from .operators import classify, correlate, forest, normalize, redact, rollups,
 from .plans import digest as digests
 from .sources import logs
 from .sources.scratch import shared_dir
+from .streaming import delegations as followed
 
 QUERIES, ORACLE = {}, {}
 S, O = ["session_id"], ["offset", "seq"]
@@ -337,13 +338,18 @@ def boundary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.compaction_stats(ops).drop("format")
 
 
-def _delegations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _delegation_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Views launch the call of their id, purchases notify it."""
     ops = operations(spark, sf_dir).withColumn("format", F.lit("main")).withColumn("tool_use_id", F.col("call_id"))
     none = F.lit(None).cast("string")
     calls = ops.filter("name = 'view'").select("format", "session_id", "offset", "seq", "ts", "tool_use_id", F.lit("assistant").alias("type"), F.lit("tool_use").alias("block_type"), F.lit(False).alias("is_sidechain"), F.lit("Task").alias("tool_name"), F.parse_json(F.to_json(F.struct(F.concat(F.lit("job "), F.col("offset").cast("string")).alias("description"), F.lit(True).alias("run_in_background")))).alias("input"), F.parse_json(F.to_json(F.struct(F.concat(F.lit("agent"), "call_id").alias("agentId")))).alias("outcome"), none.alias("result_text"))
     told = ops.filter("name = 'purchase'").select("format", "session_id", "offset", "seq", F.concat(F.lit("<task-notification><tool-use-id>"), "call_id", F.lit("</tool-use-id><status>completed</status><result>paid "), F.col("value").cast("string"), F.lit("</result></task-notification>")).alias("text"))
     answers = calls.withColumn("block_type", F.lit("tool_result")).withColumn("seq", F.lit(1))
+    return calls, answers, told
+
+
+def _delegations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, answers, told = _delegation_records(spark, sf_dir)
     return correlate.correlated(correlate.launches(calls), correlate.results(answers), correlate.notifications(told))
 
 
@@ -351,11 +357,28 @@ _LAUNCHED = """with l as (select user_id as session_id, json_extract_string(prop
 n as (select user_id as session_id, json_extract_string(props, '$.k') as k, max(event_id) as b, arg_max(value, event_id) as v from events where event_type = 'purchase' group by all)"""
 
 
-@registered(_LAUNCHED + """ select l.session_id, '@o' || a as handle, k as tool_use_id, 'agent' || k as agent_id, 'job ' || a as description, case when b > a then 'completed' else 'running' end as status, case when b > a then 'paid ' || v end as excerpt from l left join n using (session_id, k)""")
+_STATUS = """ select l.session_id, '@o' || a as handle, k as tool_use_id, 'agent' || k as agent_id, 'job ' || a as description, case when b > a then 'completed' else 'running' end as status, case when b > a then 'paid ' || v end as excerpt from l left join n using (session_id, k)"""
+
+
+@registered(_LAUNCHED + _STATUS)
 def delegation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.delegations(_delegations(spark, sf_dir)).select("session_id", "handle", "tool_use_id", "agent_id", "description", "status", "excerpt")
 
 
+@registered(_LAUNCHED + _STATUS)
+def delegation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of the records in four batches, out of order: by the state it has at the end."""
+    calls, answers, told = _delegation_records(spark, sf_dir)
+    facts = followed.facts(calls.unionByName(answers), told)
+    lines, checkpoint, ignored = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    facts.withColumn("batch", F.xxhash64("offset", "fact") % 4).repartition("batch").write.partitionBy("batch").parquet(lines)
+    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(lines)
+    changes = followed.follow(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    changes.foreachBatch(lambda rows, _: rows.write.mode("append").parquet(ignored)).trigger(availableNow=True).start().awaitTermination()
+    held = followed.held_calls(spark, checkpoint).withColumn("session_id", F.col("session_id").cast("bigint"))
+    return correlate.delegations(held).select("session_id", "handle", "tool_use_id", "agent_id", "description", "status", "excerpt")
+
+
 @registered(_LAUNCHED + " select l.session_id, count(*) as launched, count(*) filter (b is null or b < a) as running from l left join n using (session_id, k) group by all")
 def pending_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.delegations(_delegations(spark, sf_dir)).groupBy("session_id").agg(F.count("*").alias("launched"), F.count_if(F.col("status") == "running").alias("running"))
