@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import classify, correlate, forest, normalize, redact, rollups, search, windows
+from .operators import classify, correlate, forest, index, normalize, redact, rollups, search, windows
 from .plans import digest as digests
 from .sources import logs
 from .sources.scratch import shared_dir
@@ -196,6 +196,25 @@ def sessions_mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.mentions(messages(spark, sf_dir), "And the", by=S)
 
 
+#: What the indexed search looks for, and which sources (None: all).
+_SEARCHES = [("license", None), (r"licen[cs]ed?\s+under", None), ("(MIT|Apache|BSD)[ -]+Licen[cs]e", ["src0", "src1", "src17"]), (r"\b(under|unter) (the )?[a-z]+ l", None), ("a.b", ["src3"])]
+
+
+@registered(" union all ".join(f"""select {k} as search, doc_id from documents where regexp_matches(text, '(?i){p}')""" + (f" and source in ({', '.join(repr(x) for x in s)})" if s else "") for k, (p, s) in enumerate(_SEARCHES)))
+def indexed_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    index.build(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path, tags=["source"], by=["doc_id"], order=[])
+    found = (index.grep(spark, path, p, 12, **({"source": s} if s else {})).select(F.lit(k).alias("search"), "doc_id") for k, (p, s) in enumerate(_SEARCHES))
+    return reduce(DataFrame.unionByName, found)
+
+
+@registered("select distinct conv_id as session_id from conversations where contains(lower(text), 'and the')")
+def indexed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    index.build(messages(spark, sf_dir), path, tags=["kind"], by=S, order=O)
+    return index.mentions(spark, path, "And the")
+
+
 _RANKED = 'select user_id as session_id, event_id as "offset", event_type as name, row_number() over (partition by user_id order by event_id) as r from events'
 
 
