@@ -299,10 +299,13 @@ def _grams(rows: DataFrame, text: str) -> DataFrame:
 
 
 def build(rows: DataFrame, path: str, text: str = "text", tags: list[str] = [], by: list[str] = KEY, order: list[str] = ORDER, files: int | None = None) -> None:
-    """Write rows and their postings below `path`. Columns named `block` or starting with `_` are refused. files: into how
+    """Write rows and their postings below `path`. Columns named `block` or starting with `_` are refused, as are tags
+    that are not strings. files: into how
     many ranges of rows; Spark decides by their size if it isn't given."""
     if clash := [c for c in rows.columns if c == "block" or c.startswith("_")]:
         raise ValueError(f"columns that the index needs itself: {clash}")
+    if other := [c for c in tags if rows.schema[c].dataType.simpleString() != "string"]:
+        raise ValueError(f"tags that are not strings: {other}")
     spark = rows.sparkSession
     number = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
     ranges = rows.repartitionByRange(files, *by, *order) if files else rows.repartitionByRange(*by, *order)
@@ -310,7 +313,7 @@ def build(rows: DataFrame, path: str, text: str = "text", tags: list[str] = [],
     kept = spark.read.parquet(f"{path}/rows")
     postings = _grams(kept, text)
     for name in tags:
-        postings = postings.unionByName(kept.filter(F.col(name).isNotNull()).select("block", F.concat(F.lit(_tag_key(name, "")), F.col(name).cast("string")).alias("key")))
+        postings = postings.unionByName(kept.filter(F.col(name).isNotNull()).select("block", F.concat(F.lit(_tag_key(name, "")), F.col(name)).alias("key")))
     lists = postings.groupBy("key", F.shiftright("block", SPAN_BITS).alias("span")).agg(F.array_sort(F.collect_set("block")).alias("blocks"))
     lists.repartitionByRange("key", "span").sortWithinPartitions("key", "span").write.parquet(f"{path}/postings")
     kept.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("block").alias("first"), F.max("block").alias("last")).write.parquet(f"{path}/files")
@@ -366,7 +369,7 @@ def grep(spark: SparkSession, path: str, pattern: str, around: int = 80, **tags:
     made = settings(spark, path)
     need = required(pattern)
     for name, values in tags.items():
-        need = both(need, tagged(name, values) if name in made["tags"] else None)
+        need = both(need, tagged(name, values) if name in made["tags"] and all(isinstance(v, str) for v in values) else None)
     rows = narrowed(spark, path, need)
     for name, values in tags.items():
         rows = rows.filter(F.col(name).isin(values))

@@ -79,3 +79,5 @@ def test_empty_and_clashing(spark, tmp_path):
     assert index.grep(spark, f"{tmp_path}/empty", "abc").count() == 0 and index.grep(spark, f"{tmp_path}/empty", ".").count() == 0
     with pytest.raises(ValueError, match="block"):
         index.build(empty.withColumn("block", F.lit(1)), f"{tmp_path}/no")
+    with pytest.raises(ValueError, match="offset"):
+        index.build(empty, f"{tmp_path}/no", tags=["offset"])
