@@ -574,6 +574,20 @@ def test_top_k_by_brute_force(spark):
         assert found == want
 
 
+def test_top_k_of_rows_that_repeat_an_id_and_of_large_components(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i % 120, (rng.integers(-60, 60, 4) / 64).tolist()) for i in range(300)]
+    rows += [(200, [2.0**70, 0.0, 0.0, 0.0]), (250, [0.0, 2.0**56, 0.0, 1.0]), (300, [-(2.0**70), 0.0, 2.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(whole) if m != n)[:5]
+            want.update((q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scored))
+    assert Counter(tuple(r) for r in balltree.op7_ball_tree_topk(spark, str(tmp_path)).collect()) == want
+
+
 def test_whole_vectors_leaves_out_the_unusable(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.5, -0.001]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 0.0]), (None, [1.0, 1.0]), (6, [])]
