@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .normalize import KEY, ORDER, content_blocks
+from .normalize import KEY, ORDER, get, once, origin, text_at
 
 #: Texts that agents inject into a conversation.
 INJECTED = ["<environment_context>", "<permissions instructions>", "<collaboration_mode>", "<skills_instructions>", "<app-context>", "# agents.md instructions", "========= memory_summary begins ========="]
@@ -87,12 +87,13 @@ def classify_texts(rows: DataFrame, text: str, owner: str = "owner", summary: Co
 
 def incoming(events: DataFrame, attachments: DataFrame) -> DataFrame:
     """Every incoming text with its kind and delivery (turn or mid-turn); of a user turn, its first text block counts."""
-    from .normalize import origin
-
-    users = content_blocks(events.filter("type = 'user'")).filter("block_type = 'text'")
-    first = users.groupBy(*KEY, "offset").agg(F.min_by(F.struct("seq", "text"), "seq").alias("b"))
-    turns = events.filter("type = 'user'").select(*KEY, "offset", "ts", "is_sidechain", "is_meta", "is_compact_summary", *origin("$.origin")).join(first, [*KEY, "offset"])
-    turns = turns.withColumn("seq", F.col("b.seq")).withColumn("text", F.col("b.text")).drop("b")
+    # The first text block is found within its row: no shuffle brings a turn and its blocks together.
+    said, blocks = text_at("$.message.content"), get("$.message.content", "array<variant>")
+    is_text = F.transform(blocks, lambda b: F.coalesce(text_at("$.type", b) == "text", F.lit(False)))
+    place = F.when(said.isNotNull(), 0).otherwise(F.array_position(is_text, F.lit(True)).cast("int") - 1)
+    users = events.filter("type = 'user'").select(*KEY, "offset", "ts", "is_sidechain", "is_meta", "is_compact_summary", "v", once(place).alias("seq")).filter("seq >= 0")
+    text = F.coalesce(said, text_at("$.text", F.get(blocks, F.col("seq"))))
+    turns = users.select(*[c for c in users.columns if c != "v"], *origin("$.origin"), once(text).alias("text"))
     own = classify_texts(turns, "text", "owner", summary=F.col("is_compact_summary"), meta=F.col("is_meta"), from_origin=True)
     queued = attachments.filter("attachment_type = 'queued_command' and prompt is not null").drop("text")
     told = classify_texts(queued.withColumn("ts", F.col("delivered_at")), "prompt", "owner_mid_turn", notified=F.coalesce(F.col("command_mode") == "task-notification", F.lit(False)), meta=F.col("attachment_is_meta"), from_origin=True, notifies=False)

@@ -1,8 +1,8 @@
-"""What a row costs: JSON is parsed once."""
+"""What a row costs: JSON is parsed once, and text blocks are found without a shuffle."""
 
 from pyspark.sql import functions as F
 
-from sessionlake.operators import normalize
+from sessionlake.operators import classify, normalize
 from sessionlake.session_queries import as_lines
 
 LINES = [
@@ -34,6 +34,13 @@ def test_a_rendered_line_is_rendered_once(spark):
     assert sorted((r.offset, r.value, r.nbytes) for r in found.collect()) == [(0, '{"step":0}', 10), (100, '{"step":1}', 10)]
 
 
+def test_first_text_blocks_need_no_join(spark):
+    events = normalize.events(lines(spark))
+    found = classify.incoming(events, normalize.attachments(events))
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    assert sorted((r.offset, r.seq, r.kind, r.text) for r in found.collect()) == [(0, 0, "owner", "bare"), (10, 1, "owner", "second")]
+
+
 def test_files_of_blocks_in_one_scan(spark):
     events = normalize.events(lines(spark))
     found = normalize.event_files(events, normalize.content_blocks(events))
