@@ -136,6 +136,21 @@ def follow(facts: DataFrame, keep: timedelta | None = None) -> DataFrame:
     return calls.withColumn("launched_at", F.timestamp_micros("launched_us")).drop("launched_us")
 
 
+def aggregated(facts: DataFrame) -> DataFrame:
+    """The same calls by Spark's own streaming aggregates, for streams too large to call Python for each key: columns as of `follow`, but
+    for `version`, which a batch's number gives. In update mode a call's row comes with each batch that holds a fact of it, changed or not;
+    a call without a launch has no offset."""
+    facts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    place = F.struct(*_PLACE)
+    of = lambda fact, holds=True: F.when((F.col("fact") == fact) & holds, place)
+    calls = facts.groupBy(*CALL).agg(
+        F.min_by(F.struct(*_PLACE, *LAUNCH), of("launch")).alias("l"), F.max_by(F.struct("offset", *NOTICE), of("notice")).alias("n"),
+        F.max(F.when(F.col("fact") == "result", F.col("offset"))).alias("result_at"), *(F.max_by(r, of("result", F.col(r).isNotNull())).alias(r) for r in RESULT),
+    )
+    later = lambda at, c: F.when(F.col(at) >= F.col("l.offset"), F.col(c))
+    return calls.select(*CALL, "l.offset", "l.seq", *(f"l.{c}" for c in LAUNCH if c != "launched_us"), *(later("result_at", r).alias(r) for r in RESULT), later("n.offset", "n.raw").alias("notified"), later("n.offset", "n.excerpt").alias("notified_excerpt"), F.timestamp_micros("l.launched_us").alias("launched_at"))
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """The last row of each call in a table of changes."""
     rest = [c for c in changes.columns if c not in CALL]
