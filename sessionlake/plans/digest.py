@@ -263,12 +263,12 @@ def session_list(lines: DataFrame, limit: int = 30, tail: int = TAIL) -> DataFra
 
 def rollout_report(lines: DataFrame, index: DataFrame | None = None, messages: int = 48, operations: int = 15, tools: int = 64, files: int = 64, budget: int = 256 << 10) -> DataFrame:
     """One row for each rollout session: meta, redacted messages within an output budget, operations, tools, files."""
-    rows = normalize.rollout_rows(lines)
+    rows = stored(normalize.rollout_rows(lines))  # parsed once; messages, calls and their outputs read these
     calls = rows.filter("role = 'tool_call'")
     named = windows.named_by_call(rows.filter("role in ('tool_call', 'tool')")).filter("role = 'tool'").withColumn("text", F.concat("name", F.lit(" -> "), "text"))
     said = rows.filter("role in ('user', 'assistant', 'error')").unionByName(named)
-    clean = redact.admit_messages(said)
-    kept = windows.last_n(windows.drop_adjacent_messages(clean), messages)
+    clean = stored(redact.admit_messages(said))  # segments are scanned more than once
+    kept = stored(windows.last_n(windows.drop_adjacent_messages(clean), messages))
     within = windows.within_budget(kept, F.octet_length(F.to_json(F.struct("role", "text", "ts_raw"))), budget)
     context = normalize.rollout_context(lines)
     meta = normalize.rollout_meta(lines)
