@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .normalize import KEY, ORDER, get, once, origin, text_at
+from .normalize import KEY, ORDER, listed_at, once, origin, said_at, text_at
 
 #: Texts that agents inject into a conversation.
 INJECTED = ["<environment_context>", "<permissions instructions>", "<collaboration_mode>", "<skills_instructions>", "<app-context>", "# agents.md instructions", "========= memory_summary begins ========="]
@@ -85,15 +85,18 @@ def classify_texts(rows: DataFrame, text: str, owner: str = "owner", summary: Co
     return out.select(*kept, kind.alias("kind"), body.alias("text"), sender.alias("sender"), F.coalesce(handback, no).alias("handback"), command("_name").alias("cmd_name"), command("_args").alias("cmd_args"))
 
 
-def incoming(events: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Every incoming text with its kind and delivery (turn or mid-turn); of a user turn, its first text block counts."""
+def incoming(events: DataFrame, attachments: DataFrame, holding: str | None = None) -> DataFrame:
+    """Every incoming text with its kind and delivery (turn or mid-turn); of a user turn, its first text block counts.
+    With `holding`, only texts that hold this string as they were sent are classified."""
     # The first text block is found within its row: no shuffle brings a turn and its blocks together.
-    said, blocks = text_at("$.message.content"), get("$.message.content", "array<variant>")
+    said, blocks = said_at(), listed_at()
     is_text = F.transform(blocks, lambda b: F.coalesce(text_at("$.type", b) == "text", F.lit(False)))
-    place = F.when(said.isNotNull(), 0).otherwise(F.array_position(is_text, F.lit(True)).cast("int") - 1)
+    place = F.when(blocks.isNotNull(), F.array_position(is_text, F.lit(True)).cast("int") - 1).when(said.isNotNull(), 0)
     users = events.filter("type = 'user'").select(*KEY, "offset", "ts", "is_sidechain", "is_meta", "is_compact_summary", "v", once(place).alias("seq")).filter("seq >= 0")
-    text = F.coalesce(said, text_at("$.text", F.get(blocks, F.col("seq"))))
+    text = F.coalesce(text_at("$.text", F.get(blocks, F.col("seq"))), said)
     turns = users.select(*[c for c in users.columns if c != "v"], *origin("$.origin"), once(text).alias("text"))
+    if holding is not None:
+        turns, attachments = turns.filter(F.contains("text", F.lit(holding))), attachments.filter(F.contains("prompt", F.lit(holding)))
     own = classify_texts(turns, "text", "owner", summary=F.col("is_compact_summary"), meta=F.col("is_meta"), from_origin=True)
     queued = attachments.filter("attachment_type = 'queued_command' and prompt is not null").drop("text")
     told = classify_texts(queued.withColumn("ts", F.col("delivered_at")), "prompt", "owner_mid_turn", notified=F.coalesce(F.col("command_mode") == "task-notification", F.lit(False)), meta=F.col("attachment_is_meta"), from_origin=True, notifies=False)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .classify import classify_texts
-from .normalize import KEY, ORDER, get, text_at
+from .normalize import KEY, ORDER, get, once, text_at
 
 
 def status(raw: str | Column) -> Column:
@@ -19,13 +19,22 @@ def status(raw: str | Column) -> Column:
     return F.when(raw.isin("failed", "error"), F.lit("failed")).otherwise(raw)
 
 
-def launch_rows(blocks: DataFrame) -> DataFrame:
-    """Delegations (Agent, Task) and background shell tasks on the main chain, every sighting of an id."""
+NOTICE = "<task-notification>"
+
+
+def _launch() -> tuple[Column, dict[str, Column]]:
+    """Whether a block launches something, and the fields of the launch."""
     i = lambda k: text_at(f"$.{k}", "input")
     background = F.coalesce(get("$.run_in_background", "boolean", "input"), F.lit(False))
     kind = F.when(F.col("tool_name").isin("Agent", "Task"), "delegation").when((F.col("tool_name") == "Bash") & background, "background")
-    calls = blocks.filter("type = 'assistant' and block_type = 'tool_use' and not is_sidechain").withColumn("kind", kind).filter("kind is not null and tool_use_id is not null")
-    return calls.select(*KEY, "tool_use_id", *ORDER, "kind", F.col("ts").alias("launched_at"), i("description").alias("description"), i("subagent_type").alias("agent_type"), i("prompt").alias("prompt"), i("command").alias("command"), background.alias("run_in_background"))
+    holds = F.expr("type = 'assistant' and block_type = 'tool_use' and not is_sidechain and tool_use_id is not null") & kind.isNotNull()
+    return holds, {"kind": kind, "launched_at": F.col("ts"), "description": i("description"), "agent_type": i("subagent_type"), "prompt": i("prompt"), "command": i("command"), "run_in_background": background}
+
+
+def launch_rows(blocks: DataFrame) -> DataFrame:
+    """Delegations (Agent, Task) and background shell tasks on the main chain, every sighting of an id."""
+    holds, fields = _launch()
+    return blocks.filter(holds).select(*KEY, "tool_use_id", *ORDER, *(c.alias(n) for n, c in fields.items()))
 
 
 def launches(blocks: DataFrame) -> DataFrame:
@@ -37,7 +46,7 @@ def launches(blocks: DataFrame) -> DataFrame:
 
 def notification_rows(texts: DataFrame) -> DataFrame:
     """Status and excerpt of each `<task-notification>` text, by the call id it names."""
-    found = texts.filter(F.contains("text", F.lit("<task-notification>"))).select(*KEY, *ORDER, F.coalesce(T.tag("text", "tool-use-id"), T.tag("text", "tool_use_id")).alias("tool_use_id"), T.tag("text", "status").alias("raw"), F.coalesce(T.tag("text", "result"), T.tag("text", "summary")).alias("excerpt"))
+    found = texts.filter(F.contains("text", F.lit(NOTICE))).select(*KEY, *ORDER, F.coalesce(T.tag("text", "tool-use-id"), T.tag("text", "tool_use_id")).alias("tool_use_id"), T.tag("text", "status").alias("raw"), F.coalesce(T.tag("text", "result"), T.tag("text", "summary")).alias("excerpt"))
     return found.filter("tool_use_id is not null")
 
 
@@ -46,9 +55,13 @@ def notifications(texts: DataFrame) -> DataFrame:
     return notification_rows(texts).groupBy(*KEY, "tool_use_id").agg(F.max_by(F.struct("raw", "excerpt", "offset"), F.struct(*ORDER)).alias("n")).select(*KEY, "tool_use_id", F.col("n.raw").alias("notified"), F.col("n.excerpt").alias("notified_excerpt"), F.col("n.offset").alias("notified_at"))
 
 
+def _result() -> dict[str, Column]:
+    return {"agent_id": text_at("$.agentId", "outcome"), "sync_excerpt": F.col("result_text"), "task_id": F.nullif(F.regexp_extract("result_text", "background with ID: ([^. \n]*)", 1), F.lit(""))}
+
+
 def result_rows(blocks: DataFrame) -> DataFrame:
     """What tool results say of a launch: the agent's id, a synchronous text, a background task's id."""
-    return blocks.filter("block_type = 'tool_result'").select(*KEY, *ORDER, "tool_use_id", text_at("$.agentId", "outcome").alias("agent_id"), F.col("result_text").alias("sync_excerpt"), F.nullif(F.regexp_extract("result_text", "background with ID: ([^. \n]*)", 1), F.lit("")).alias("task_id"))
+    return blocks.filter("block_type = 'tool_result'").select(*KEY, *ORDER, "tool_use_id", *(c.alias(n) for n, c in _result().items()))
 
 
 def results(blocks: DataFrame) -> DataFrame:
@@ -65,6 +78,26 @@ def correlated(launches: DataFrame, results: DataFrame, notifications: DataFrame
     return joined.select(*kept, *(later(c, "result_at") for c in ("agent_id", "sync_excerpt", "task_id")), *(later(c, "notified_at") for c in ("notified", "notified_excerpt")))
 
 
+def calls(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """`correlated` of these blocks and notification texts, by one scan of each and one aggregate: every sighting of a call is a row
+    of one long-form table, and a call's launch, results and notification are taken from its group."""
+    holds, launch = _launch()
+    struct = lambda fields: F.struct(*(c.alias(n) for n, c in fields.items()))
+    answers = F.expr("block_type = 'tool_result' and tool_use_id is not null and " + " and ".join(f"{k} is not null" for k in KEY))
+    # A block's fields, then its facts, are read once each, whatever mentions them.
+    read = blocks.filter("block_type in ('tool_use', 'tool_result')").select(*KEY, *ORDER, once(F.struct("type", "block_type", "is_sidechain", "ts", "tool_use_id", "tool_name", "input", "result_text", "outcome")).alias("b")).select(*KEY, *ORDER, "b.*")
+    facts = once(F.struct(F.when(holds, struct(launch)).alias("launch"), F.when(answers, struct(_result())).alias("result")))
+    said = read.select(*KEY, "tool_use_id", *ORDER, facts.alias("x")).filter("x.launch is not null or x.result is not null").select(*KEY, "tool_use_id", *ORDER, "x.launch", "x.result")
+    told = notification_rows(texts).filter(" and ".join(f"{k} is not null" for k in KEY)).select(*KEY, "tool_use_id", *ORDER, F.struct("raw", "excerpt").alias("notice"))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(*ORDER))
+    each = said.unionByName(told, allowMissingColumns=True).groupBy(*KEY, "tool_use_id").agg(
+        F.min_by(F.struct(*ORDER, "launch"), at("launch")).alias("l"), F.max(F.when(F.col("result").isNotNull(), F.col("offset"))).alias("result_at"),
+        *(F.max_by(f"result.{c}", at(f"result.{c}")).alias(c) for c in _result()), F.max_by(F.struct("notice", "offset"), at("notice")).alias("n"),
+    )
+    later = lambda c, when: F.when(F.col(when) >= F.col("l.offset"), F.col(c))
+    return each.filter("l is not null").select(*KEY, "tool_use_id", *(f"l.{c}" for c in ORDER), *(f"l.launch.{c}" for c in launch), *(later(c, "result_at").alias(c) for c in _result()), later("n.notice.raw", "n.offset").alias("notified"), later("n.notice.excerpt", "n.offset").alias("notified_excerpt"))
+
+
 def delegations(correlated: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """One row for each delegation, its status from the notification, else completed if it ran in the foreground and
     answered, else launched or running. meta (session_id, agent_id, agent_type, description) overrides the launch."""

@@ -132,7 +132,7 @@ def digest(lines: DataFrame, meta: DataFrame | None = None, caps: dict[str, int]
     caps = CAPS | (caps or {})
     t = normalized(lines)
     events, blocks, system, incoming = t["events"], t["blocks"], t["system"], t["incoming"]
-    facts = stored(correlate.correlated(correlate.launches(blocks), correlate.results(blocks), correlate.notifications(incoming.filter("kind = 'task_notification'"))))  # three sections read these
+    facts = stored(correlate.calls(blocks, incoming.filter("kind = 'task_notification'")))  # three sections read these
     delegations = correlate.delegations(facts, meta)
     users = windows.first_n(blocks.filter("type = 'user' and block_type = 'text'"), 1, by=[*KEY, "offset"], order=["seq"])
     stuck = stored(correlate.stuck_queue(t["queue"], users, t["attachments"]))  # so do two with these
