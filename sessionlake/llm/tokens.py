@@ -4,10 +4,12 @@ The word tokenizer drops white space and never joins characters across it, so th
 those of its words in order. Each Python worker keeps the bytes and ids of words it has met in flat arrays,
 found by hash and then compared byte by byte; beyond KEPT words it starts again, which costs time but
 changes nothing. Words beyond words.LONG bytes, and those whose hash another word has, are not kept.
+Where the tokenizer lower-cases, words of plain ASCII that differ by case only are one word.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -20,6 +22,24 @@ KEPT, RUN, CALLS, MARK, CHUNK = 600_000, 512, 8, "|", 1 << 19
 VOCABULARY = "word_bpe_49k.json"
 
 
+#: Bytes of words that may be lower-cased before the tokenizer does it.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.,;:!?'\"()-")] = True
+
+
+def folds(tokenizer) -> bool:
+    """Whether words of plain bytes have the ids of their lower case: nothing before the tokenizer's lower-casing tells cases
+    apart, and no added token, which is looked for in the text as it is, is made of plain bytes alone."""
+    known = json.loads(tokenizer.to_str())
+    step = known.get("normalizer") or {}
+    for step in step["normalizers"] if step.get("type") == "Sequence" else [step]:
+        if step.get("type") == "Lowercase":
+            return not any(_PLAIN[list(t["content"].encode())].all() for t in known.get("added_tokens") or ())
+        if step.get("type") not in ("NFC", "NFD", "NFKC", "NFKD") and step.get("pattern") != {"Regex": "\\s+"}:
+            return False
+    return False
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -32,6 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.folds = folds(self.tokenizer)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
@@ -97,6 +118,16 @@ class WordEncoder:
         out[same] = words.equal(part, at[same], spelt, known[same, 2], size[same])
         return place, out
 
+    @staticmethod
+    def _folded(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes with words of plain bytes in lower case."""
+        odd = np.append(0, np.cumsum(~_PLAIN[part]))
+        kept = odd[ends] > odd[starts]
+        inside = np.zeros(len(part) + 1, np.int8)
+        inside[starts[kept]] += 1
+        inside[ends[kept]] -= 1
+        return np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, part, words.lower(part))
+
     def encode(self, column: pa.Array):
         """For each range of texts: its number of texts, their ids in a row, each text's number of ids."""
         data, offsets = words.text_buffer(column)
@@ -107,6 +138,8 @@ class WordEncoder:
             if not len(starts):
                 yield hi - lo, np.zeros(0, np.uint32), np.zeros(hi - lo, np.int64)
                 continue
+            if self.folds:
+                part = self._folded(part, starts, ends)
             length, raw, window = ends - starts, memoryview(part), words.windows(part)
             hashed, where, which = np.unique(words.hashes(part, starts, ends), return_index=True, return_inverse=True)
             if len(self.keys) > KEPT:
