@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import words
 from .common import bounded_sample, query, tidy
 
-BUCKETS, ROWS, SMOOTHING, CHUNK = 1 << 16, 20_000, 0.5, 1 << 18
+BUCKETS, ROWS, SMOOTHING, CHUNK = 1 << 16, 20_000, 0.5, 1 << 16
 UNKNOWN = "und"
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, query, small_side, stored
+from .common import discard, query, small_side, small_table, stored
 
 WEIGHTS, CAP, CELLS, STEPS, TOLERANCE = (5, 2, 1), 3, 4096, 60, 1e-9
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -72,7 +72,7 @@ def solve(counts: DataFrame, totals: list[dict], cap: float = CAP) -> dict[int,
     turn = 0
     while state:
         turn += 1
-        known = spark.createDataFrame([(k, s["at"], by[k]["size"] / by[k]["with_words"]) for k, s in sorted(state.items())], "k int, m double, mean double")
+        known = small_table(spark, [(k, s["at"], by[k]["size"] / by[k]["with_words"]) for k, s in sorted(state.items())], "k int, m double, mean double")
         w, x = _rate(F.col("m"), F.col("x"), cap), F.col("x")
         each = counts.join(F.broadcast(known), "k").withColumn("x", F.col("size") / F.col("mean"))  # known: one row a source
         sums = each.groupBy("k").agg(F.sum(F.col("n") * w * x).alias("g"), F.sum(F.col("n") * x * x * w * (1 - w / cap)).alias("h")).collect()
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, k
     targets = water_fill([r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], cap)
     totals = [{"k": i, "source": r.source, "size": r["size"], "with_words": r.with_words, "target": t} for i, (r, t) in enumerate(zip(sums, targets))]
     kind = "k int, source string, source_size bigint, target double, mean double"
-    known = spark.createDataFrame([(t["k"], t["source"], t["size"], t["target"], t["size"] / max(1, t["with_words"])) for t in totals], kind)
+    known = small_table(spark, [(t["k"], t["source"], t["size"], t["target"], t["size"] / max(1, t["with_words"])) for t in totals], kind)
 
     def numbered(rows: DataFrame, sources: DataFrame) -> DataFrame:
         sources = F.broadcast(sources.withColumnRenamed("source", "source_"))  # a few numbers for each source, collected above
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, k
     counts = stored(sources.groupBy("k", "size").agg(F.count("*").alias("n")))
     multipliers = solve(counts, totals, cap)
     discard(counts)
-    tilts = known.join(spark.createDataFrame([(k, m if math.isfinite(m) else None) for k, m in multipliers.items()], "k int, m double"), "k")
+    tilts = known.join(small_table(spark, [(k, m if math.isfinite(m) else None) for k, m in multipliers.items()], "k int, m double"), "k")
 
     def rated(rows: DataFrame) -> DataFrame:
         rate = F.when(F.col("m").isNull(), F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0)).otherwise(_rate(F.col("m"), F.col("size") / F.col("mean"), cap))
@@ -162,8 +162,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, k
 
     floors = {r.k: r.s for r in each.groupBy("k").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
     wanted = {t["k"]: t["target"] - floors.get(t["k"], 0) for t in totals}
-    coarse = cut(each, cell, spark.createDataFrame([(k, float(w)) for k, w in wanted.items()], "k int, wanted double"))
-    inside = spark.createDataFrame([(k, c[0], float(wanted[k] - c[1])) for k, c in coarse.items()], "k int, cell bigint, wanted double")
+    coarse = cut(each, cell, small_table(spark, [(k, float(w)) for k, w in wanted.items()], "k int, wanted double"))
+    inside = small_table(spark, [(k, c[0], float(wanted[k] - c[1])) for k, c in coarse.items()], "k int, cell bigint, wanted double")
     within = each.join(F.broadcast(inside.select("k", "cell")), (each["k"] == inside["k"]) & (cell == inside["cell"])).drop(inside["k"]).drop("cell")
     finer = cut(within, fine, inside.select("k", "wanted"))
 
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, k
         left = wanted[k] - coarse[k][1]
         return coarse[k][0], at + (before + s - left < left - before)
 
-    shifts = spark.createDataFrame([(t["k"], *shift(t["k"])) for t in totals], "k int, shift bigint, fine_shift bigint")
+    shifts = small_table(spark, [(t["k"], *shift(t["k"])) for t in totals], "k int, shift bigint, fine_shift bigint")
     all_rows = rated(numbered(sized, tilts.join(shifts, "k")))
     more = F.col("v").isNotNull() & ((cell < F.col("shift")) | (cell == F.col("shift")) & (fine < F.col("fine_shift")))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(more, 1).otherwise(0)).otherwise(0)

@@ -125,12 +125,13 @@ def _surveyed(fragments: int, share: float, n: int):
                 info["n"][i], info["q"][i], (info["d1"][i], info["d2"][i]) = len(grams), len(own), np.frombuffer(digest, "<i8")
                 parts.append(own)
             all_grams = np.concatenate([np.zeros(0, np.uint64), *parts])
-            index = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            index = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+            parts.clear()
             order = np.argsort(all_grams, kind="stable")
             all_grams, index = all_grams[order], index[order]
             several = np.append(all_grams[1:] == all_grams[:-1], False) if len(all_grams) else np.zeros(0, bool)
             several[1:] |= several[:-1].copy()
-            info["shared"] += np.bincount(index[several], minlength=len(parts))
+            info["shared"] += np.bincount(index[several], minlength=len(doc_ids))
             noted = np.unique(all_grams[several])
             all_grams, index = all_grams[~several], index[~several]
             cut, note_cut = ([0, *np.searchsorted(a, bounds).tolist(), len(a)] for a in (all_grams, noted))
@@ -202,6 +203,7 @@ def segments(docs: DataFrame, postings: int, n: int = N) -> DataFrame:
             sets = list(shingle_sets(batch.column(1), n))
             grams = np.concatenate([np.zeros(0, np.uint64), *sets])
             owner = np.repeat(doc_ids, [len(x) for x in sets])
+            sets.clear()
             order = np.argsort(grams, kind="stable")
             grams, owner = grams[order], owner[order]
             distinct, first, times = np.unique(grams, return_index=True, return_counts=True)
