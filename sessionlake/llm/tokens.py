@@ -20,7 +20,7 @@ import pyarrow as pa
 from . import words
 
 #: Pieces kept; pieces in one call of the tokenizer, calls at once; the word between whole words; bytes of text worked on at once.
-KEPT, RUN, CALLS, MARK, CHUNK = 600_000, 512, 8, "|", 1 << 19
+KEPT, RUN, CALLS, MARK, CHUNK = 500_000, 512, 8, "|", 1 << 19
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -282,10 +282,12 @@ class WordEncoder:
 
 
 def _room(kept: np.ndarray, rows: int) -> np.ndarray:
-    """The array, twice as long until it has room for so many rows."""
-    while rows > len(kept):
-        kept = np.concatenate([kept, np.zeros_like(kept)])
-    return kept
+    """The array with room for so many rows; new room takes memory only as it is written to."""
+    if rows <= len(kept):
+        return kept
+    out = np.zeros((1 << rows.bit_length(), *kept.shape[1:]), kept.dtype)
+    out[: len(kept)] = kept
+    return out
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -43,6 +43,23 @@ def test_a_part_of_words_is_learnt_once(encoder):
     assert sorted(" ".join(given).split()) == sorted(["alpha", ",", "(", ")", "!", "4", "2", "***", "été", "."])
 
 
+def test_few_parts_for_many_words_of_a_store(monkeypatch):
+    """What operator 3's writer asks of the tokenizer for words that differ by case, numbers and signs only."""
+    own, path = tokens.WordEncoder(tokens.default_vocabulary()), tokens.default_vocabulary()
+    given, called = [], own._called
+    own._called = lambda texts: called(given.extend(texts) or texts)
+    monkeypatch.setitem(tokens._encoders, path, own)
+    texts = [f"Word{i}, ({i})word. WORD{i}" for i in range(300)]
+    assert [ids.tolist() for ids in tokens.encoded(pa.array(texts), path)] == expected(own, texts)
+    assert len(" ".join(given).split()) <= 20
+
+
+def test_room_is_added_without_loss():
+    rows = np.arange(12).reshape(4, 3)
+    more = tokens._room(rows, 9)
+    assert len(more) >= 9 and more.shape[1] == 3 and (more[:4] == rows).all() and tokens._room(rows, 4) is rows
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cut_words_have_the_ids_of_whole_texts(encoder, seed):
     texts = invented(seed, 2000)
